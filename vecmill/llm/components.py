@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import cut
+from vecmill.llm.common import shared_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,21 +13,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round, every node hooks to its smallest neighbour, pointers are
     doubled twice, and the edges are contracted by them; the edges between
-    contracted nodes keep what isn't joined yet. No edges give no rows.
+    contracted nodes keep what isn't joined yet. The rounds' pointers are
+    composed at the end. No edges give no rows.
     """
     pairs = edges.where("u <> v")
-    current = cut(pairs.select("u", "v").union(pairs.select("v", "u")).distinct())
-    found = current.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    current = shared_table(pairs.select("u", "v").union(pairs.select("v", "u")).distinct(), "edges")
+    hooks: list[DataFrame] = []
     while not current.isEmpty():
-        hook = cut(current.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
-        for _ in range(2):
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            hook = hook.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
-        hook = cut(hook)
-        to = hook.select(F.col("u").alias("root"), "p")
-        found = cut(found.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        hook = shared_table(current.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hooks")
+        up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        twice = hook.join(up, "p").select("u", F.col("q").alias("p"))
+        up = twice.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        hook = shared_table(twice.join(up, "p").select("u", F.col("q").alias("p")), "pointers")
+        hooks.append(hook)
         a, b = hook.select("u", F.col("p").alias("a")), hook.select(F.col("u").alias("v"), F.col("p").alias("b"))
-        current = cut(
-            current.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-        )
-    return found
+        moved = current.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        current = shared_table(moved.distinct(), "edges")
+    if not hooks:
+        return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = hooks[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
+    for hook in hooks[1:]:
+        to = hook.select(F.col("u").alias("root"), "p")
+        found = found.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+    return shared_table(found, "components")

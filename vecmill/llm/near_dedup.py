@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import WordHashes, cut, mix64, shared_table, shingle_hashes, table
+from vecmill.llm.common import WordHashes, mix64, shared_table, shingle_hashes, table
 from vecmill.llm.components import connected_components
 
 WIDTH = 5
@@ -34,7 +34,8 @@ R = 3
 #: A pair of similarity 0.75 shares 17 of 40 keys on average, and under MIN_SHARED
 #: with probability 2e-5; pairs below it are not looked up.
 MIN_SHARED = 4
-FIRST_PIVOTS = 8
+FIRST_PIVOTS = 16
+MORE_PIVOTS = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -127,7 +128,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, m: int, width: int, percent: int):
         self.docs, self.nodes, self.m, self.width, self.percent = docs, nodes, m, width, percent
         self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.known: DataFrame | None = None
 
     def shared_keys(self, rows: DataFrame) -> DataFrame:
         """(node, comp, size, n, a, b): the keys that each node shares with another component; some in both halves.
@@ -135,7 +136,7 @@ class _Linker:
         ``rows``: node, comp, size, n, keys with their slots as array<struct<slot, key>>.
         """
         each = rows.select("node", "comp", F.explode("keys").alias("k")).select("node", "comp", "k.slot", "k.key")
-        live = cut(each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"))
+        live = shared_table(each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "live-keys")
         half = lambda first: F.expr(f"filter(keys, k -> k.slot {'<' if first else '>='} {self.m})")
         found = (
             each.join(live, "key")
@@ -145,48 +146,62 @@ class _Linker:
             .where((F.size("a") > 0) & (F.size("b") > 0))
             .select("node", F.col("keys").alias("live"), "a", "b")
         )
-        return cut(rows.select("node", "comp", "size", "n").join(found, "node"))
+        return shared_table(rows.select("node", "comp", "size", "n").join(found, "node"), "shared-keys")
 
     def build_sets(self, shared: DataFrame) -> None:
         wanted = shared_table(shared.select(F.col("node").alias("doc_id")).distinct(), "sharing-nodes")
         chosen = self.docs.join(wanted, "doc_id", "left_semi")
         self.sets = shared_table(chosen.mapInArrow(_sets(self.width), "node long, shingles binary"), "shingle-sets")
 
-    def verify(self, pairs: DataFrame, shared: DataFrame) -> None:
-        """Adds the links among ``pairs`` (u < v, distinct)."""
+    def verify(self, pairs: DataFrame, shared: DataFrame) -> bool:
+        """Joins the components of linked ``pairs`` (u < v, distinct); whether there were any."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
+        pairs = shared_table(pairs, "pairs")
         brief = shared.select("node", "n", F.transform("live", lambda k: k["key"]).alias("live"))
         side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("live").alias(f"live_{x}"))
         least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-        likely = cut(
+        likely = (
             pairs.join(side("u"), "u")
             .join(side("v"), "v")
             .where((100 * least >= self.percent * most) & (F.size(F.array_intersect("live_u", "live_v")) >= MIN_SHARED))
             .select("u", "v")
         )
         full = lambda x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-        found = cut(likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long").distinct())
+        found = likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
+        links = shared_table(found, "links")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)
+        if links.isEmpty():
+            return False
+        if self.known is None:
+            self.known = connected_components(links).withColumnRenamed("root", "comp")
+            return True
+        of = lambda x: self.known.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+        edges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("comp_u", "u").alias("u"), F.coalesce("comp_v", "v").alias("v"))
+        roots = connected_components(edges)
+        moved = self.known.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        new = roots.join(self.known.select("node"), "node", "left_anti").select("node", F.col("root").alias("comp"))
+        self.known = shared_table(moved.unionByName(new), "components")
+        return True
 
     def labelled(self) -> DataFrame:
         """The nodes with their components so far, and the components' sizes."""
-        roots = connected_components(self.links)
-        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        known = cut(roots.join(sizes, "root").select("node", F.col("root").alias("comp"), "size"))
+        if self.known is None:
+            return self.nodes.select("node", F.col("node").alias("comp"), F.lit(1).cast("long").alias("size"), "n", "keys")
+        sizes = self.known.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        known = shared_table(self.known.join(sizes, "comp").select("node", "comp", "size"), "sized")
         rows = self.nodes.join(known, "node", "left")
-        return cut(rows.select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "n", "keys"))
+        return rows.select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "n", "keys")
 
-    def run(self) -> DataFrame:
-        """(node, root) of all nodes with links."""
-        rows = self.nodes.withColumns({"comp": F.col("node"), "size": F.lit(1).cast("long")}).select("node", "comp", "size", "n", "keys")
-        shared = self.shared_keys(rows)
+    def run(self) -> DataFrame | None:
+        """(node, comp) of all nodes with links; None if there are none."""
+        shared = self.shared_keys(self.labelled())
+        # Only these nodes and keys can still meet one of another component.
+        self.nodes = shared.select("node", "n", F.col("live").alias("keys"))
         self.build_sets(shared)
         # First, each node meets the one node with which, as the smallest of a key, it shares most keys.
         each = shared.select("node", F.explode("live").alias("k")).select("node", "k.key")
-        first = cut(each.groupBy("key").agg(F.min("node").alias("pivot")))
+        first = shared_table(each.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
         chosen = (
             each.join(first, "key")
             .where("pivot < node")
@@ -198,25 +213,25 @@ class _Linker:
         self.verify(chosen.select((-F.col("best.p")).alias("u"), F.col("node").alias("v")), shared)
         pivots = FIRST_PIVOTS
         while True:
-            rows = self.labelled()
-            shared = self.shared_keys(rows)
+            shared = self.shared_keys(self.labelled())
             keys = shared.select("node", "comp", "size", F.explode("a").alias("a"), "b").select(
                 "node", "comp", "size", "a", F.explode("b").alias("b")
             )
             tables = keys.select("node", "comp", "size", F.xxhash64("a.key", "b.key").alias("t"))
             by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"))
-            buckets = cut(
+            buckets = shared_table(
                 by_comp.groupBy("t")
                 .agg(F.count(F.lit(1)).alias("comps"), (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest"))
-                .where("comps > 1")
+                .where("comps > 1"),
+                "buckets",
             )
             most = buckets.agg(F.max("rest")).first()[0]
             if most is None:
                 break
-            members = cut(tables.join(buckets.select("t"), "t"))
+            members = shared_table(tables.join(buckets.select("t"), "t"), "members")
             # the members of the bucket's largest component come last
             order = F.row_number().over(_by_bucket())
-            heads = cut(members.withColumn("nth", order).where(F.col("nth") <= pivots).select("t", F.col("node").alias("p"), F.col("comp").alias("pc")))
+            heads = members.withColumn("nth", order).where(F.col("nth") <= pivots).select("t", F.col("node").alias("p"), F.col("comp").alias("pc"))
             pairs = (
                 members.join(heads, "t")
                 .where("comp <> pc")
@@ -226,8 +241,8 @@ class _Linker:
             self.verify(pairs, shared)
             if most <= pivots:
                 break
-            pivots *= 4
-        return connected_components(self.links)
+            pivots *= MORE_PIVOTS
+        return self.known
 
 
 def _by_bucket():
@@ -255,18 +270,20 @@ def near_duplicates(
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     texts = signed.select("doc_id", "s1", "s2", "n")
     # one node for each distinct word sequence
-    first = cut(texts.where(own).groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
+    first = shared_table(texts.where(own).groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "sequences")
     keyed = signed.where(own).select(F.col("doc_id").alias("node"), "s1", "s2", "n", "keys")
-    nodes = cut(
+    nodes = shared_table(
         keyed.join(first, ["node", "s1", "s2"], "left_semi")
         .dropDuplicates(["node", "s1", "s2"])
-        .select("node", "n", F.transform("keys", lambda k, i: F.struct(i.alias("slot"), k.alias("key"))).alias("keys"))
+        .select("node", "n", F.transform("keys", lambda k, i: F.struct(i.alias("slot"), k.alias("key"))).alias("keys")),
+        "nodes",
     )
     roots = _Linker(docs.where("doc_id IS NOT NULL"), nodes, m, width, percent).run()
-    named = first.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
+    named = first.select("s1", "s2", F.col("node").alias("component"))
+    if roots is not None:
+        named = first.join(roots, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component"))
     # plain scans on both sides: a text that a third of all rows share is split as the join runs
-    placed = texts.join(cut(named), ["s1", "s2"], "left")
-    # the rows of a repeated id may stand in several texts' components; those are joined by the id
+    placed = texts.join(shared_table(named, "named"), ["s1", "s2"], "left")
     return placed.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
