@@ -2,5 +2,324 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vecmill.functions.spatial import morton
+from vecmill.functions.transform import Rotation, rademacher_signs, spectral_energy
+from vecmill.operators import search as S
+from vecmill.operators import vote as V
+from vecmill.operators.encode import bucket_keys, encode
+from vecmill.sources.index import concatenated
+from vecmill.streaming.delta import live_view, merge_results
+
+DIM, TIERS = 64, [64]
+N_QUERIES, K, CANDIDATES = 20, 10, 200
+FAMILY_STEP, FAMILIES, THRESHOLD = 10, 8, 30
+
+
+def _rotation() -> Rotation:
+    return Rotation(DIM, TIERS)
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("row_idx"), F.col("embedding").alias("vector"), "label")
+
+
+def _coded(spark, sf_dir, bits=1, sidecar="none", with_z=False) -> DataFrame:
+    return bucket_keys(encode(_base(spark, sf_dir), "vector", _rotation(), bits, sidecar, with_z))
+
+
+def _queries(df: DataFrame) -> DataFrame:
+    return df.where(F.col("id") < N_QUERIES)
+
+
+def encode_1bit(spark, sf_dir):
+    return _coded(spark, sf_dir).select("id", F.col("s0").alias("word"))
+
+
+def encode_2bit(spark, sf_dir):
+    return _coded(spark, sf_dir, 2).select("id", F.col("s0").alias("word"), F.col("m0").alias("mask"))
+
+
+def rotate_norm(spark, sf_dir):
+    z = _coded(spark, sf_dir, with_z=True)
+    return z.select("id", F.round(F.expr("aggregate(z, 0D, (s, v) -> s + v * v)"), 6).alias("norm"))
+
+
+def p20_threshold(spark, sf_dir):
+    z = _coded(spark, sf_dir, with_z=True)
+    return z.select("id", F.round(F.expr(f"element_at(array_sort(transform(z, v -> abs(v))), {int(DIM * 0.2) + 1})"), 6).alias("threshold"))
+
+
+def mih_keys(spark, sf_dir):
+    return _coded(spark, sf_dir).select("id", *[F.col(f"k{c}").cast("int").alias(f"k{c}") for c in range(4)])
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    keys = F.array(*[F.struct(F.lit(c).alias("chunk"), F.col(f"k{c}").cast("int").alias("key")) for c in range(4)])
+    return rows.select("row_idx", F.explode(keys).alias("k")).select("row_idx", "k.chunk", "k.key")
+
+
+def mih_histogram(spark, sf_dir):
+    return _postings(_coded(spark, sf_dir)).groupBy("chunk", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mih_postings(spark, sf_dir):
+    """Rows of a bucket in order, each with its place: gathered lists would grow with the table."""
+    place = F.row_number().over(Window.partitionBy("chunk", "key").orderBy("row_idx")) - 1
+    return _postings(_coded(spark, sf_dir)).withColumn("place", place)
+
+
+def mih_pass1_candidates(spark, sf_dir):
+    rows = _postings(_coded(spark, sf_dir))
+    asked = rows.where(F.col("row_idx") < N_QUERIES).select(F.col("row_idx").alias("query_id"), "chunk", "key")
+    return rows.join(asked, ["chunk", "key"]).select("query_id", F.col("row_idx").alias("id")).distinct()
+
+
+def hamming_topk(spark, sf_dir):
+    rows = _coded(spark, sf_dir)
+    met = S.meet(rows.select("id", "s0"), S.prefixed(_queries(rows).select("id", "s0")))
+    found = S.ranked(met.select("q_id", "id", S.hamming(DIM).alias("hamming")), K, "hamming", "id")
+    return found.select(F.col("q_id").alias("query_id"), "rank", "id", "hamming")
+
+
+def ternary_topk(spark, sf_dir):
+    rows = _coded(spark, sf_dir, 2)
+    met = S.meet(rows.select("id", "s0", "m0"), S.prefixed(_queries(rows).select("id", "s0", "m0")))
+    found = S.ranked(met.select("q_id", "id", S.ternary(DIM).alias("distance")), K, "distance", "id")
+    return found.select(F.col("q_id").alias("query_id"), "rank", "id", "distance")
+
+
+def _knn(metric):
+    def run(spark, sf_dir):
+        rows = _base(spark, sf_dir)
+        found = S.knn(rows, _queries(rows), K, metric)
+        return found.select("query_id", "rank", "id", F.round("distance", 5).alias("distance"))
+
+    return run
+
+
+def knn_float_mode(spark, sf_dir):
+    rows = _coded(spark, sf_dir, with_z=True)
+    met = S.meet(rows.select("id", "z"), S.prefixed(_queries(rows).select("id", "z")))
+    found = S.ranked(met.select("q_id", "id", S.l2_squared("q_z", "z").alias("d")), K, "d", "id")
+    return found.select(F.col("q_id").alias("query_id"), "rank", "id")
+
+
+def _decoded(mode):
+    def run(spark, sf_dir):
+        rows = encode(_base(spark, sf_dir), "vector", _rotation(), 1, mode)
+        return rows.select("id", F.posexplode("vec").alias("dim", "v")).select("id", "dim", (F.round(F.col("v").cast("double"), 6) + 0.0).alias("value"))
+
+    return run
+
+
+def _cascade(sidecar, bits=1, width=DIM):
+    def run(spark, sf_dir):
+        rows = _coded(spark, sf_dir, bits, sidecar, with_z=True)
+        asked = _queries(rows)
+        found = S.cascade(rows.drop("vector", "z"), asked, K, width, CANDIDATES, DIM, bits, sidecar)
+        return found.select("query_id", "rank", "id", "hamming")
+
+    return run
+
+
+def mih_search(spark, sf_dir):
+    rows = _coded(spark, sf_dir, sidecar="fp8", with_z=True)
+    asked = _queries(rows)
+    pairs = S.bucket_candidates(rows, asked, 300)
+    return S.cascade(rows.drop("vector", "z"), asked, K, DIM, 300, DIM, 1, "fp8", pairs).select("query_id", "rank", "id", "hamming")
+
+
+def tombstone_filter(spark, sf_dir):
+    rows = _coded(spark, sf_dir, sidecar="fp8", with_z=True).withColumn("deleted", F.col("id") % 3 == 1)
+    found = S.cascade(rows.drop("vector", "z"), _queries(rows), K, DIM, CANDIDATES, DIM, 1, "fp8")
+    return found.select("query_id", "rank", "id", "hamming")
+
+
+def _family_queries(rows: DataFrame) -> DataFrame:
+    chosen = (F.col("id") < FAMILY_STEP * FAMILIES) & (F.col("id") % FAMILY_STEP == 0)
+    return rows.where(chosen).withColumns({"family": (F.col("id") / FAMILY_STEP).cast("int"), "threshold": F.lit(THRESHOLD)})
+
+
+def _masks(spark, sf_dir, sidecar="none"):
+    rows = _coded(spark, sf_dir, sidecar=sidecar)
+    return rows, V.voting_masks(rows, _family_queries(rows), DIM)
+
+
+def vote_mask(spark, sf_dir):
+    return _masks(spark, sf_dir)[1].select("id", "mask", "votes")
+
+
+def vote_resonant_count(spark, sf_dir):
+    return V.resonant_count(_masks(spark, sf_dir)[1])
+
+
+def vote_rerank(spark, sf_dir):
+    rows, masks = _masks(spark, sf_dir, "fp8")
+    return V.grid_rerank(masks, rows, _family_queries(rows)).select("id", "votes", "mask", F.round("score", 5).alias("score"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    base = _base(spark, sf_dir)
+    inserts = base.where("id % 7 = 0").select(F.col("id").alias("seq"), F.lit(1).alias("op"), (F.col("id") + 100_000).alias("id"), "vector")
+    deletes = base.where("id % 21 = 0").select((F.col("id") + 1_000_000).alias("seq"), F.lit(2).alias("op"), (F.col("id") + 100_000).alias("id"), F.lit(None).cast("array<float>").alias("vector"))
+    return inserts.unionByName(deletes)
+
+
+def delta_live(spark, sf_dir):
+    return live_view(_log(spark, sf_dir)).select("id", "seq")
+
+
+def delta_search_merged(spark, sf_dir):
+    base, live = _base(spark, sf_dir), live_view(_log(spark, sf_dir))
+    asked = _queries(base)
+    return merge_results(S.knn(base, asked, K), S.knn(live, asked, K), K).select("query_id", "rank", "id")
+
+
+def compact_union(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    half = base.where("id % 2 = 0").withColumn("row_idx", (F.col("id") / 2).cast("long"))
+    other = base.where("id % 2 = 1").withColumn("row_idx", ((F.col("id") - 1) / 2).cast("long"))
+    return concatenated([(half, half.count()), (other, other.count())]).select("row_idx", "id")
+
+
+def get_vectors(spark, sf_dir):
+    return _decoded("fp8")(spark, sf_dir).where("id % 50 = 0")
+
+
+def recall_at_k(spark, sf_dir):
+    rows = _coded(spark, sf_dir)
+    exact = S.knn(rows, _queries(rows), K).select("query_id", "id")
+    met = S.meet(rows.select("id", "s0"), S.prefixed(_queries(rows).select("id", "s0")))
+    near = S.ranked(met.select("q_id", "id", S.hamming(DIM).alias("h")), CANDIDATES, "h", "id").select(F.col("q_id").alias("query_id"), "id")
+    hits = exact.join(near, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return exact.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def _labelled_pairs(spark, sf_dir) -> DataFrame:
+    rows = _coded(spark, sf_dir)
+    asked = rows.where(F.col("id") < N_QUERIES).select("id", "label", "s0")
+    met = S.meet(rows.select("id", "label", "s0"), S.prefixed(asked)).where("id <> q_id")
+    return met.select("q_id", "id", (F.col("label") == F.col("q_label")).alias("same"), S.hamming(DIM).alias("h"))
+
+
+def hamming_by_label(spark, sf_dir):
+    pairs = _labelled_pairs(spark, sf_dir).groupBy("same")
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("h"), 6).alias("mean"), F.round(F.stddev_samp("h"), 6).alias("std"), F.min("h").alias("low"), F.max("h").alias("high"))
+
+
+def threshold_sweep_f1(spark, sf_dir):
+    limits = spark.range(20, 41).select(F.col("id").cast("int").alias("threshold"))  # 21 rows
+    met = _labelled_pairs(spark, sf_dir).crossJoin(F.broadcast(limits))
+    near = F.col("h") <= F.col("threshold")
+    count = lambda c: F.count(F.when(c, 1))
+    sums = met.groupBy("threshold").agg(count(near & F.col("same")).alias("tp"), count(near & ~F.col("same")).alias("fp"), count(~near & F.col("same")).alias("fn"))
+    f1 = F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6)
+    return sums.withColumn("f1", F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, f1).otherwise(0.0))
+
+
+def geodetic_morton(spark, sf_dir):
+    lat, lon = (F.col("id") * 7 % 181 - 90).cast("double"), (F.col("id") * 13 % 361 - 180).cast("double")
+    return _base(spark, sf_dir).select("id", morton(lat, lon).alias("code"))
+
+
+def energy_phi(spark, sf_dir):
+    """Cumulative spectral energy of the embeddings' second moments, which partial sums gather (D * D values)."""
+    rows = _base(spark, sf_dir).select("id", F.posexplode("vector").alias("i", "v"))
+    moments = rows.groupBy("i").agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("m")).orderBy("i").collect()
+    phi = spectral_energy(np.diag(np.sqrt([r.m for r in moments])))
+    return spark.createDataFrame([(k + 1, float(p)) for k, p in enumerate(phi)], "k int, phi double")
+
+
+def rerank_cosine(spark, sf_dir):
+    rows = _base(spark, sf_dir)
+    return S.rerank(_queries(rows), rows.where("id % 5 = 0"), K).select("query_id", "rank", "id")
+
+
+QUERIES = {
+    "encode_1bit": encode_1bit, "encode_2bit": encode_2bit, "rotate_norm": rotate_norm, "p20_threshold": p20_threshold,
+    "mih_keys": mih_keys, "mih_histogram": mih_histogram, "mih_postings": mih_postings, "mih_pass1_candidates": mih_pass1_candidates,
+    "mih_search": mih_search, "hamming_topk": hamming_topk, "ternary_topk": ternary_topk, "knn_l2": _knn("l2"), "knn_cosine": _knn("cosine"),
+    "knn_float_mode": knn_float_mode, "fp8_codes": _decoded("fp8"), "fp4_codes": _decoded("fp4"), "fp16_codes": _decoded("fp16"),
+    "cascade_fp8": _cascade("fp8"), "cascade_fp4": _cascade("fp4"), "cascade_fp16": _cascade("fp16"), "cascade_none": _cascade("none"),
+    "cascade_two_bit": _cascade("none", 2), "tombstone_filter": tombstone_filter, "vote_mask": vote_mask,
+    "vote_resonant_count": vote_resonant_count, "vote_rerank": vote_rerank, "delta_live": delta_live,
+    "delta_search_merged": delta_search_merged, "compact_union": compact_union, "get_vectors": get_vectors, "recall_at_k": recall_at_k,
+    "hamming_by_label": hamming_by_label, "threshold_sweep_f1": threshold_sweep_f1, "geodetic_morton": geodetic_morton,
+    "energy_phi": energy_phi, "rerank_cosine": rerank_cosine,
+}
+
+# --- SQL ---------------------------------------------------------------------
+
+_SIGNS = "[" + ",".join(str(int(s)) for s in rademacher_signs(DIM)) + "]"
+_E = f"""e AS (SELECT vec_id AS id, label, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT id, label, i, sum(x * ({_SIGNS})[j + 1] * (CASE WHEN bit_count(CAST(i & j AS INTEGER)) % 2 = 0 THEN 1 ELSE -1 END)) / 8.0 AS z
+  FROM e CROSS JOIN (SELECT unnest(range({DIM})) AS i) GROUP BY id, label, i),
+p AS (SELECT id, list_sort(list(abs(z)))[{int(DIM * 0.2) + 1}] AS t FROM z GROUP BY id)"""
+_WRAP = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN {0} - 18446744073709551616 ELSE {0} END AS BIGINT)"
+_BIT = "sum(CASE WHEN {0} THEN CAST(pow(2, i) AS HUGEINT) ELSE 0 END)"
+_KEYS = "k AS (SELECT id, chunk, CAST(sum(CASE WHEN z >= 0 THEN 1 << (i - 8 * chunk) ELSE 0 END) AS INTEGER) AS key FROM (SELECT id, i, z, CAST(i // 8 AS INTEGER) AS chunk FROM z WHERE i < 32) GROUP BY id, chunk)"
+_HAM = f"""h AS (SELECT q.id AS query_id, r.id, any_value(q.label) AS q_label, any_value(r.label) AS label, CAST(sum(CASE WHEN (q.z >= 0) <> (r.z >= 0) THEN 1 ELSE 0 END) AS INTEGER) AS hamming
+  FROM z q JOIN z r ON q.i = r.i WHERE q.id < {N_QUERIES} GROUP BY q.id, r.id)"""
+_TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM {src}) WHERE rank <= " + str(K)
+#: The nearest FP8 value, halves away from zero.
+_FP8 = """(CASE WHEN abs(x) >= 448 THEN 448 WHEN abs(x) < pow(2, -10) THEN 0 WHEN abs(x) < pow(2, -6) THEN least(floor(abs(x) * 512 + 0.5), 7) / 512
+  ELSE least(448, floor(abs(x) / pow(2, floor(log2(abs(x)))) * 8 + 0.5) / 8 * pow(2, floor(log2(abs(x))))) END * CASE WHEN x < 0 THEN -1 ELSE 1 END)"""
+_F8 = f"f AS (SELECT id, j, {_FP8} AS v FROM e)"
+_BEST = f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, id) AS n FROM h{{w}}) WHERE n <= {CANDIDATES})"
+_L2 = "l AS (SELECT c.query_id, c.id, c.hamming, sum((q.x - f.v) * (q.x - f.v)) AS d FROM c JOIN e q ON q.id = c.query_id JOIN f ON f.id = c.id AND f.j = q.j GROUP BY ALL)"
+_FAM = f"""v AS (SELECT q.id // {FAMILY_STEP} AS family, r.id, sum(CASE WHEN (q.z >= 0) <> (r.z >= 0) THEN 1 ELSE 0 END) AS hamming FROM z q JOIN z r ON q.i = r.i
+  WHERE q.id < {FAMILY_STEP * FAMILIES} AND q.id % {FAMILY_STEP} = 0 GROUP BY ALL),
+m AS (SELECT id, CAST(sum(CASE WHEN hamming <= {THRESHOLD} THEN 1 << family ELSE 0 END) AS INTEGER) AS mask, CAST(sum(CASE WHEN hamming <= {THRESHOLD} THEN 1 ELSE 0 END) AS INTEGER) AS votes FROM v GROUP BY id)"""
+_PAIR = f"SELECT q.vec_id AS query_id, r.vec_id AS id, {{d}} AS d FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id < {N_QUERIES}"
+_D2 = "list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))"
+_DOT = "list_sum(list_transform(list_zip({0}.embedding, {1}.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2]))"
+_COS = f"({_DOT.format('q', 'r')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('r', 'r')})))"
+_LAB = "g AS (SELECT label = q_label AS same, hamming AS h FROM h WHERE id <> query_id)"
+_CASC = f"WITH {_E}, {_HAM}, {_F8}, {_BEST.format(w='{w}')}, {_L2} " + _TOP.format(cols="id, hamming", order="d, hamming, id", src="l")
+_ASYM = "l AS (SELECT c.query_id, c.id, c.hamming, sum({term}) AS d FROM c JOIN z q ON q.id = c.query_id JOIN z r ON r.id = c.id AND r.i = q.i {more} GROUP BY c.query_id, c.id, c.hamming)"
+_SPREAD = "list_sum(list_transform(range(24), lambda b: ((({0}) >> b) & 1) << (2 * b + {1})))"
+_LAT, _LON = "CAST(floor((vec_id * 7 % 181) / 180.0 * 16777215) AS BIGINT)", "CAST(floor((vec_id * 13 % 361) / 360.0 * 16777215) AS BIGINT)"
+_TERN = f"""t AS (SELECT q.id AS query_id, r.id, CAST(sum(CASE WHEN abs(q.z) >= pq.t AND abs(r.z) >= pr.t AND (q.z >= 0) <> (r.z >= 0) THEN 4
+  WHEN (abs(q.z) >= pq.t) <> (abs(r.z) >= pr.t) THEN 1 ELSE 0 END) AS INTEGER) AS distance
+  FROM z q JOIN z r ON q.i = r.i JOIN p pq ON pq.id = q.id JOIN p pr ON pr.id = r.id WHERE q.id < {N_QUERIES} GROUP BY q.id, r.id)"""
+
+ORACLES = {
+    "encode_1bit": f"WITH {_E}, w AS (SELECT id, {_BIT.format('z >= 0')} AS w FROM z GROUP BY id) SELECT id, {_WRAP.format('w')} AS word FROM w",
+    "encode_2bit": f"WITH {_E}, w AS (SELECT z.id, {_BIT.format('z >= 0 AND abs(z) >= t')} AS w, {_BIT.format('abs(z) >= t')} AS m FROM z JOIN p ON p.id = z.id GROUP BY z.id) SELECT id, {_WRAP.format('w')} AS word, {_WRAP.format('m')} AS mask FROM w",
+    "rotate_norm": "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm FROM embeddings",
+    "p20_threshold": f"WITH {_E} SELECT id, round(t, 6) AS threshold FROM p",
+    "mih_keys": f"WITH {_E}, {_KEYS} SELECT id, " + ", ".join(f"max(key) FILTER (WHERE chunk = {c}) AS k{c}" for c in range(4)) + " FROM k GROUP BY id",
+    "mih_histogram": f"WITH {_E}, {_KEYS} SELECT chunk, key, count(*) AS n FROM k GROUP BY chunk, key",
+    "mih_postings": f"WITH {_E}, {_KEYS} SELECT id AS row_idx, chunk, key, CAST(row_number() OVER (PARTITION BY chunk, key ORDER BY id) - 1 AS INTEGER) AS place FROM k",
+    "mih_pass1_candidates": f"WITH {_E}, {_KEYS} SELECT DISTINCT q.id AS query_id, r.id FROM k q JOIN k r ON q.chunk = r.chunk AND q.key = r.key WHERE q.id < {N_QUERIES}",
+    "hamming_topk": f"WITH {_E}, {_HAM} " + _TOP.format(cols="id, hamming", order="hamming, id", src="h"),
+    "ternary_topk": f"WITH {_E}, {_TERN} " + _TOP.format(cols="id, distance", order="distance, id", src="t"),
+    "knn_l2": _TOP.format(cols="id, round(d, 5) AS distance", order="d, id", src=f"({_PAIR.format(d=_D2)})"),
+    "knn_cosine": _TOP.format(cols="id, round(d, 5) AS distance", order="d DESC, id", src=f"({_PAIR.format(d=_COS)})"),
+    "knn_float_mode": _TOP.format(cols="id", order="d, id", src=f"({_PAIR.format(d=_D2)})"),
+    "fp8_codes": f"WITH {_E}, {_F8} SELECT id, CAST(j AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM f",
+    "get_vectors": f"WITH {_E}, {_F8} SELECT id, CAST(j AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM f WHERE id % 50 = 0",
+    "cascade_fp8": _CASC.format(w=""),
+    "tombstone_filter": _CASC.format(w=" WHERE id % 3 <> 1"),
+    "cascade_none": f"WITH {_E}, {_HAM}, {_BEST.format(w='')}, " + _ASYM.format(term="(q.z - CASE WHEN r.z >= 0 THEN 1 ELSE -1 END) ** 2", more="") + " " + _TOP.format(cols="id, hamming", order="d, hamming, id", src="l"),
+    "cascade_two_bit": f"WITH {_E}, {_TERN}, h AS (SELECT query_id, id, distance AS hamming FROM t), {_BEST.format(w='')}, "
+    + _ASYM.format(term="(q.z - CASE WHEN abs(r.z) < p.t THEN 0 WHEN r.z >= 0 THEN 1 ELSE -1 END) ** 2", more="JOIN p ON p.id = r.id") + " " + _TOP.format(cols="id, hamming", order="d, hamming, id", src="l"),
+    "vote_mask": f"WITH {_E}, {_FAM} SELECT id, mask, votes FROM m",
+    "vote_resonant_count": f"WITH {_E}, {_FAM} SELECT count(*) AS resonant_count FROM m WHERE votes >= 5",
+    "vote_rerank": f"""WITH {_E}, {_FAM}, {_F8}, s AS (SELECT m.id, votes, mask, q.id AS qid, sum(q.x * f.v) / (sqrt(sum(q.x * q.x)) * sqrt(sum(f.v * f.v))) AS s
+  FROM m JOIN f ON f.id = m.id JOIN e q ON q.j = f.j WHERE votes >= 5 AND q.id < {FAMILY_STEP * FAMILIES} AND q.id % {FAMILY_STEP} = 0 GROUP BY ALL)
+  SELECT id, votes, mask, round(max(s), 5) AS score FROM s GROUP BY id, votes, mask""",
+    "delta_live": "SELECT vec_id + 100000 AS id, vec_id AS seq FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 21 <> 0",
+    "delta_search_merged": "WITH " + f"b AS ({_PAIR.format(d=_D2)}), u AS (SELECT *, 0 AS side FROM b UNION ALL SELECT query_id, id + 100000, d, 1 FROM b WHERE id % 7 = 0 AND id % 21 <> 0) " + _TOP.format(cols="id", order="d, side, id", src="u"),
+    "compact_union": "SELECT CAST(row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS BIGINT) AS row_idx, vec_id AS id FROM embeddings",
+    "recall_at_k": f"WITH {_E}, {_HAM}, {_BEST.format(w='')}, x AS ({_TOP.format(cols='id', order='d, id', src=f'({_PAIR.format(d=_D2)})')}) SELECT x.query_id, count(c.id) AS hits FROM x LEFT JOIN c ON c.query_id = x.query_id AND c.id = x.id GROUP BY x.query_id",
+    "hamming_by_label": f"WITH {_E}, {_HAM}, {_LAB} SELECT same, count(*) AS n, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, min(h) AS low, max(h) AS high FROM g GROUP BY same",
+    "threshold_sweep_f1": f"WITH {_E}, {_HAM}, {_LAB}, s AS (SELECT CAST(t AS INTEGER) AS threshold, count(*) FILTER (WHERE h <= t AND same) AS tp, count(*) FILTER (WHERE h <= t AND NOT same) AS fp, count(*) FILTER (WHERE h > t AND same) AS fn FROM g CROSS JOIN (SELECT unnest(range(20, 41)) AS t) GROUP BY t) SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2.0 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1 FROM s",
+    "geodetic_morton": f"SELECT vec_id AS id, CAST({_SPREAD.format(_LON, 0)} + {_SPREAD.format(_LAT, 1)} AS BIGINT) AS code FROM embeddings",
+    "rerank_cosine": _TOP.format(cols="id", order="d DESC, id", src=f"({_PAIR.format(d=_COS)} AND r.vec_id % 5 = 0)"),
+}
