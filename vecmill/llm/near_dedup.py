@@ -34,6 +34,8 @@ R = 3
 #: A pair of similarity 0.75 shares 17 of 40 keys on average, and under MIN_SHARED
 #: with probability 2e-5; pairs below it are not looked up.
 MIN_SHARED = 4
+#: Rounds in which each node meets one other; they join most of a large group in pairs as few as its members.
+STAR_ROUNDS = 3
 FIRST_PIVOTS = 16
 MORE_PIVOTS = 16
 
@@ -193,24 +195,36 @@ class _Linker:
         rows = self.nodes.join(known, "node", "left")
         return rows.select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "n", "keys")
 
+    def stars(self, shared: DataFrame, turn: int) -> DataFrame:
+        """A pair for each node: with the one of another component that, as the first of a key, shares most keys.
+
+        The first of a key is the smallest by a hash that differs between turns.
+        """
+        each = shared.select("node", "comp", F.explode("live").alias("k")).select("node", "comp", "k.key")
+        mark = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h"), F.col("node").alias("p"), F.col("comp").alias("pc"))
+        first = shared_table(each.groupBy("key").agg(F.min(mark).alias("m")).select("key", "m.p", "m.pc"), "pivots")
+        chosen = (
+            each.join(first, "key")
+            .where("pc <> comp")
+            .groupBy("node", "p")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("node")
+            .agg(F.max(F.struct("c", (-F.col("p")).alias("m"))).alias("best"))
+            .select("node", (-F.col("best.m")).alias("p"))
+        )
+        return chosen.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
+
     def run(self) -> DataFrame | None:
         """(node, comp) of all nodes with links; None if there are none."""
         shared = self.shared_keys(self.labelled())
         # Only these nodes and keys can still meet one of another component.
         self.nodes = shared.select("node", "n", F.col("live").alias("keys"))
         self.build_sets(shared)
-        # First, each node meets the one node with which, as the smallest of a key, it shares most keys.
-        each = shared.select("node", F.explode("live").alias("k")).select("node", "k.key")
-        first = shared_table(each.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
-        chosen = (
-            each.join(first, "key")
-            .where("pivot < node")
-            .groupBy("node", "pivot")
-            .agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("node")
-            .agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best"))
-        )
-        self.verify(chosen.select((-F.col("best.p")).alias("u"), F.col("node").alias("v")), shared)
+        for turn in range(STAR_ROUNDS):
+            if turn:
+                shared = self.shared_keys(self.labelled())
+            if not self.verify(self.stars(shared, turn), shared) and turn:
+                break
         pivots = FIRST_PIVOTS
         while True:
             shared = self.shared_keys(self.labelled())
