@@ -129,7 +129,8 @@ REPEATS = f"(n_covered > {MAX_COVERED} * n_words OR longest_repeat > {MAX_LONGES
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """The measures with ``base_failed`` and ``kept``."""
+    """The measures with ``base_failed`` and ``kept``; columns of their names are replaced."""
+    docs = docs.drop("base_failed", "kept")
     return quality_measures(docs).selectExpr("*", f"{BASE_FAILED} AS base_failed", f"NOT ({BASE_FAILED} OR {REPEATS}) AS kept")
 
 
