@@ -8,8 +8,12 @@ Candidates are verified on full shingle sets.
 A table key is formed only where both its halves are shared with a document of
 another component: no pair is lost by that, as a pair that meets in table (i, j)
 shares both halves. Links are found in rounds. Each joins components, and pairs
-within a component need no test. In a bucket, so many members (pivots) meet all
-others that after the last round every pair that spans components has been met.
+within a component need no test. First each node meets one other: of those that
+share most keys with most nodes, which is the text that edited copies come from.
+Then, in each bucket, so many members (pivots) meet all others that after the last
+round every pair that spans components has been met. Members
+are left out of a bucket whose shingles that other components hold are too few for
+a link with any size of text in it; an intersection can't have more.
 
 With r = 3 and m = 20, documents of similarity s meet with probability
 (1 - (1 - s^3)^20)^2: 0.99996 at 0.75, 0.9999999 at 0.85.
@@ -110,6 +114,16 @@ def _sets(width: int):
     return run
 
 
+_LISTED = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of ``_sets`` as lists."""
+    for batch in batches:
+        lists = pa.array([np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column("shingles")], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=_LISTED)
+
+
 def _confirm(percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -133,20 +147,23 @@ class _Linker:
         self.known: DataFrame | None = None
 
     def shared_keys(self, rows: DataFrame) -> DataFrame:
-        """(node, comp, size, n, a, b): the keys that each node shares with another component; some in both halves.
+        """(node, comp, size, n, live, weight, a, b): the keys that each node shares with another component; some in both halves.
+
+        ``weight`` counts the nodes of each of these keys.
 
         ``rows``: node, comp, size, n, keys with their slots as array<struct<slot, key>>.
         """
         each = rows.select("node", "comp", F.explode("keys").alias("k")).select("node", "comp", "k.slot", "k.key")
-        live = shared_table(each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "live-keys")
+        spans = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y")
+        live = shared_table(spans.select("key", "c"), "live-keys")
         half = lambda first: F.expr(f"filter(keys, k -> k.slot {'<' if first else '>='} {self.m})")
         found = (
             each.join(live, "key")
             .groupBy("node")
-            .agg(F.collect_list(F.struct("slot", "key")).alias("keys"))  # 2m at most
+            .agg(F.collect_list(F.struct("slot", "key")).alias("keys"), F.sum("c").alias("weight"))  # 2m keys at most
             .withColumns({"a": half(True), "b": half(False)})
             .where((F.size("a") > 0) & (F.size("b") > 0))
-            .select("node", F.col("keys").alias("live"), "a", "b")
+            .select("node", F.col("keys").alias("live"), "weight", "a", "b")
         )
         return shared_table(rows.select("node", "comp", "size", "n").join(found, "node"), "shared-keys")
 
@@ -198,11 +215,13 @@ class _Linker:
     def stars(self, shared: DataFrame, turn: int) -> DataFrame:
         """A pair for each node: with the one of another component that, as the first of a key, shares most keys.
 
-        The first of a key is the smallest by a hash that differs between turns.
+        The first of a key is the one of largest weight; after the first turn, one by
+        a hash that differs between turns of those of about the largest.
         """
-        each = shared.select("node", "comp", F.explode("live").alias("k")).select("node", "comp", "k.key")
-        mark = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h"), F.col("node").alias("p"), F.col("comp").alias("pc"))
-        first = shared_table(each.groupBy("key").agg(F.min(mark).alias("m")).select("key", "m.p", "m.pc"), "pivots")
+        rank = F.col("weight") if turn == 0 else F.floor(2 * F.log2("weight"))
+        each = shared.select("node", "comp", rank.cast("long").alias("w"), F.explode("live").alias("k")).select("node", "comp", "w", "k.key")
+        mark = F.struct("w", F.xxhash64(F.lit(turn), F.col("node")).alias("h"), F.col("node").alias("p"), F.col("comp").alias("pc"))
+        first = shared_table(each.groupBy("key").agg(F.max(mark).alias("m")).select("key", "m.p", "m.pc"), "pivots")
         chosen = (
             each.join(first, "key")
             .where("pc <> comp")
@@ -214,6 +233,35 @@ class _Linker:
         )
         return chosen.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
+    def open_buckets(self, tables: DataFrame) -> DataFrame:
+        """(t, rest): buckets with several components, and their members outside the largest."""
+        by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"))
+        found = by_comp.groupBy("t").agg(
+            F.count(F.lit(1)).alias("comps"), (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest")
+        )
+        return found.where("comps > 1").select("t", "rest")
+
+    def reaching(self, members: DataFrame) -> DataFrame:
+        """``members`` (t, node, comp, size, n) without those that can't be linked there.
+
+        ``most`` is the size of the largest set that a member can be linked with.
+        Of ``c`` shingles that other components' members hold, a set of ``k`` has at
+        most min(c, k), so that percent * (n + k - c) <= 100 * c.
+        """
+        crowd = shared_table(members.select("node", "comp", "n").distinct(), "crowd")
+        each = self.sets.join(crowd.select("node"), "node", "left_semi").mapInArrow(_listed, "node long, shingles array<long>")
+        each = shared_table(each.join(crowd.select("node", "comp"), "node"), "crowd-sets").select("node", "comp", F.explode("shingles").alias("s"))
+        spans = each.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+        counts = each.join(shared_table(spans.select("s"), "spanning"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        most = F.floor(((100 + self.percent) * F.col("c") - self.percent * F.col("n")) / self.percent)
+        able = crowd.join(counts, "node").select("node", most.alias("most")).where(F.col("most") > 0)
+        rows = shared_table(members.join(shared_table(able, "able"), "node"), "reaching")
+        ends = rows.groupBy("t").agg(F.min("n").alias("low"), F.max("most").alias("high"))
+        kept = rows.join(shared_table(ends, "ends"), "t").where(
+            (F.col("most") >= F.col("low")) & (F.col("high") >= F.col("n")) & (100 * F.col("most") >= self.percent * F.col("n"))
+        )
+        return kept.select("t", "node", "comp", "size", "n", "most")
+
     def run(self) -> DataFrame | None:
         """(node, comp) of all nodes with links; None if there are none."""
         shared = self.shared_keys(self.labelled())
@@ -228,27 +276,28 @@ class _Linker:
         pivots = FIRST_PIVOTS
         while True:
             shared = self.shared_keys(self.labelled())
-            keys = shared.select("node", "comp", "size", F.explode("a").alias("a"), "b").select(
-                "node", "comp", "size", "a", F.explode("b").alias("b")
-            )
-            tables = keys.select("node", "comp", "size", F.xxhash64("a.key", "b.key").alias("t"))
-            by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"))
-            buckets = shared_table(
-                by_comp.groupBy("t")
-                .agg(F.count(F.lit(1)).alias("comps"), (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest"))
-                .where("comps > 1"),
-                "buckets",
+            keys = shared.select("node", "comp", "size", "n", F.explode("a").alias("a"), "b").select(
+                "node", "comp", "size", "n", "a", F.explode("b").alias("b")
             )
-            most = buckets.agg(F.max("rest")).first()[0]
+            tables = keys.select("node", "comp", "size", "n", F.xxhash64("a.key", "b.key").alias("t"))
+            buckets = shared_table(self.open_buckets(tables), "buckets")
+            if buckets.isEmpty():
+                break
+            able = shared_table(self.reaching(shared_table(tables.join(buckets.select("t"), "t"), "members")), "able-members")
+            left = shared_table(self.open_buckets(able), "left")
+            most = left.agg(F.max("rest")).first()[0]
             if most is None:
                 break
-            members = shared_table(tables.join(buckets.select("t"), "t"), "members")
+            members = shared_table(able.join(left.select("t"), "t"), "meeting")
             # the members of the bucket's largest component come last
             order = F.row_number().over(_by_bucket())
-            heads = members.withColumn("nth", order).where(F.col("nth") <= pivots).select("t", F.col("node").alias("p"), F.col("comp").alias("pc"))
+            heads = members.withColumn("nth", order).where(F.col("nth") <= pivots)
+            heads = heads.select("t", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("most").alias("pmost"))
+            fits = (F.col("comp") != F.col("pc")) & (F.col("n") <= F.col("pmost")) & (F.col("pn") <= F.col("most"))
+            sizes = 100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")
             pairs = (
-                members.join(heads, "t")
-                .where("comp <> pc")
+                members.alias("m")
+                .join(heads.withColumnRenamed("t", "ht"), (F.col("t") == F.col("ht")) & fits & sizes)
                 .select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v"))
                 .distinct()
             )
