@@ -308,3 +308,28 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.count() > 0 and packed.join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    """Copies of copies, with deletions, replacements and repeats: many of them near 0.75 of each other."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = [[word() for _ in range(120)] for _ in range(2)]
+    for _ in range(240):
+        text = list(texts[int(rng.integers(0, min(len(texts), 40)))])
+        for _ in range(int(rng.integers(1, 6))):
+            at, kind = int(rng.integers(0, len(text))), int(rng.integers(0, 3))
+            text[at : at + 1] = [[], [word()], [text[at], text[at]]][kind]
+        texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for v in range(len(texts)):
+        for u in range(v):
+            both = len(sets[u] & sets[v])
+            if 100 * both >= 75 * (len(sets[u]) + len(sets[v]) - both) and root[u] != root[v]:
+                low, high = sorted((root[u], root[v]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+    assert len(set(root)) > 2

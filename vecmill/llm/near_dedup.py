@@ -234,33 +234,30 @@ class _Linker:
         return chosen.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
     def open_buckets(self, tables: DataFrame) -> DataFrame:
-        """(t, rest): buckets with several components, and their members outside the largest."""
-        by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"))
+        """(t, rest, low, high): buckets with several components, their members outside the largest, the smallest set and the largest ``most``."""
+        by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("most").alias("high"))
         found = by_comp.groupBy("t").agg(
-            F.count(F.lit(1)).alias("comps"), (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest")
+            F.count(F.lit(1)).alias("comps"),
+            (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
         )
-        return found.where("comps > 1").select("t", "rest")
+        return found.where("comps > 1").select("t", "rest", "low", "high")
 
-    def reaching(self, members: DataFrame) -> DataFrame:
-        """``members`` (t, node, comp, size, n) without those that can't be linked there.
+    def reaching(self, shared: DataFrame) -> DataFrame:
+        """``shared`` with ``most``, the size of the largest set that each node can be linked with; without nodes of none.
 
-        ``most`` is the size of the largest set that a member can be linked with.
-        Of ``c`` shingles that other components' members hold, a set of ``k`` has at
-        most min(c, k), so that percent * (n + k - c) <= 100 * c.
+        Of ``c`` shingles that other components hold, a set of ``k`` has at most
+        min(c, k), so that percent * (n + k - c) <= 100 * c.
         """
-        crowd = shared_table(members.select("node", "comp", "n").distinct(), "crowd")
-        each = self.sets.join(crowd.select("node"), "node", "left_semi").mapInArrow(_listed, "node long, shingles array<long>")
-        each = shared_table(each.join(crowd.select("node", "comp"), "node"), "crowd-sets").select("node", "comp", F.explode("shingles").alias("s"))
+        comps = shared.select("node", "comp")
+        each = self.sets.join(comps.select("node"), "node", "left_semi").mapInArrow(_listed, "node long, shingles array<long>")
+        each = shared_table(each.join(comps, "node"), "listed-sets").select("node", "comp", F.explode("shingles").alias("s"))
         spans = each.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
         counts = each.join(shared_table(spans.select("s"), "spanning"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
         most = F.floor(((100 + self.percent) * F.col("c") - self.percent * F.col("n")) / self.percent)
-        able = crowd.join(counts, "node").select("node", most.alias("most")).where(F.col("most") > 0)
-        rows = shared_table(members.join(shared_table(able, "able"), "node"), "reaching")
-        ends = rows.groupBy("t").agg(F.min("n").alias("low"), F.max("most").alias("high"))
-        kept = rows.join(shared_table(ends, "ends"), "t").where(
-            (F.col("most") >= F.col("low")) & (F.col("high") >= F.col("n")) & (100 * F.col("most") >= self.percent * F.col("n"))
-        )
-        return kept.select("t", "node", "comp", "size", "n", "most")
+        rows = shared.join(shared_table(counts, "spanning-counts"), "node").withColumn("most", most).drop("c")
+        return shared_table(rows.where(100 * F.col("most") >= self.percent * F.col("n")), "reaching")
 
     def run(self) -> DataFrame | None:
         """(node, comp) of all nodes with links; None if there are none."""
@@ -275,15 +272,13 @@ class _Linker:
                 break
         pivots = FIRST_PIVOTS
         while True:
-            shared = self.shared_keys(self.labelled())
-            keys = shared.select("node", "comp", "size", "n", F.explode("a").alias("a"), "b").select(
-                "node", "comp", "size", "n", "a", F.explode("b").alias("b")
-            )
-            tables = keys.select("node", "comp", "size", "n", F.xxhash64("a.key", "b.key").alias("t"))
+            shared = self.reaching(self.shared_keys(self.labelled()))
+            kept = ("node", "comp", "size", "n", "most")
+            keys = shared.select(*kept, F.explode("a").alias("a"), "b").select(*kept, "a", F.explode("b").alias("b"))
+            tables = keys.select(*kept, F.xxhash64("a.key", "b.key").alias("t"))
             buckets = shared_table(self.open_buckets(tables), "buckets")
-            if buckets.isEmpty():
-                break
-            able = shared_table(self.reaching(shared_table(tables.join(buckets.select("t"), "t"), "members")), "able-members")
+            able = tables.join(buckets, "t").where("most >= low AND high >= n").select("t", *kept)
+            able = shared_table(able, "members")
             left = shared_table(self.open_buckets(able), "left")
             most = left.agg(F.max("rest")).first()[0]
             if most is None:
