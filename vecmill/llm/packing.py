@@ -6,9 +6,9 @@ independently in random groups of documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,31 +32,96 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """ids of whole texts, made of the ids of the stretches between spaces and line feeds.
+    """ids of whole texts (little-endian, 32 bits), made of those of the stretches between spaces and line feeds.
 
     The vocabulary's pre-tokenizer drops white space and never joins characters
     over it, and its normalizer works within stretches, so their ids depend on
-    nothing else. They are kept for the stretches met lately.
+    nothing else. They are kept for the stretches met lately. New ones are encoded
+    together: a stretch of letters is one word to the pre-tokenizer, two with a
+    point after it, and words end with the vocabulary's suffix; between stretches
+    of other kinds, there is a mark that none of them holds.
     """
 
+    MARK = "|"
+    SUFFIX = "</w>"
+    #: Letters that normalizing leaves single letters, and a point.
+    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
+
     def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for w, i in vocabulary.items() if w.endswith(self.SUFFIX)]] = True
+        (self._mark,) = self._together([self.MARK])
         self._most, self._known = most, {}
 
+    def _together(self, words: list[str], between: str = " ") -> np.ndarray:
+        (found,) = self._encode([between.join(words)], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't keep stretches apart")
+        raw = ids.tobytes()
+        for w, start, end in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
+            self._known[w] = raw[start:end]
+
+    def _learn(self, words: set[str]) -> None:
+        plain, counts, other = [], [], []
+        for w in words:
+            if fits := self.PLAIN.fullmatch(w):
+                plain.append(w)
+                counts.append(2 if fits[1] else 1)
+            elif self.MARK in w:
+                self._known[w] = self._together([w]).tobytes()
+            else:
+                other.append(w)
+        if plain:
+            ids = self._together(plain)
+            ends, last = np.flatnonzero(self._ends[ids]) + 1, np.cumsum(counts)
+            if len(ends) != last[-1]:
+                raise ValueError("the tokenizer doesn't keep words apart")
+            ends = ends[last - 1]
+            self._keep(plain, ids, np.concatenate([[0], ends[:-1]]), ends)
+        if other:
+            ids = self._together(other, f" {self.MARK} ")
+            marks = np.flatnonzero(ids == self._mark)
+            self._keep(other, ids, np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]]))
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
+        if len(self._known) > self._most:
+            self._known = {}
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self._known)
+        if new:
+            self._learn(new)
+        known = self._known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
     def ids(self, text: str) -> list[int]:
-        known = self._known
-        if len(known) > self._most:
-            known.clear()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return list(chain.from_iterable([known[w] for w in words]))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = tuple(self._encode(w, add_special_tokens=False).ids) if w else ()
-            return list(chain.from_iterable([known[w] for w in words]))
+        return np.frombuffer(self.raw([text])[0], dtype="<u4").tolist()
+
+
+#: Characters of the texts that are encoded together.
+TOGETHER = 20_000
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of a batch, a few at a time."""
+    ids, texts, chars = [], [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+        ids.append(doc_id)
+        texts.append(text.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= TOGETHER:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -67,17 +132,16 @@ def _cut_pieces(path: str, length: int, end_id: int, keep_ids: bool):
     schema = pa.schema([*fields, ("ids", pa.binary())] if keep_ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.ids(text.as_py() or "")
-                ids.append(end_id)
-                raw = np.array(ids, dtype="<u4")
-                for at in range(0, len(raw), length):
-                    part = raw[at : at + length]
-                    row = (doc_id, at, len(part), zlib.crc32(part), len(raw))
-                    rows.append((*row, part.tobytes()) if keep_ids else row)
+            for ids, texts in _runs(batch):
+                for doc_id, raw in zip(ids, encoder.raw(texts)):
+                    raw += end
+                    for at in range(0, len(raw), 4 * length):
+                        part = raw[at : at + 4 * length]
+                        row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4)
+                        rows.append((*row, part) if keep_ids else row)
                 if keep_ids and len(rows) > 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
