@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,60 +37,87 @@ class Encoder:
 
     The vocabulary's pre-tokenizer drops white space and never joins characters
     over it, and its normalizer works within stretches, so their ids depend on
-    nothing else. They are kept for the stretches met lately. New ones are encoded
-    together: a stretch of letters is one word to the pre-tokenizer, two with a
-    point after it, and words end with the vocabulary's suffix; between stretches
-    of other kinds, there is a mark that none of them holds.
+    nothing else. They are kept for the stretches met lately.
+
+    Letters with marks of ASCII behind them are the pre-tokenizer's word and its
+    run of marks. Their ids are kept apart, those of the word in lower case: words
+    not met lately go to the vocabulary's model together, as what normalizer and
+    pre-tokenizer make of such letters, and end with the vocabulary's suffix.
+    Stretches of other kinds take the whole way; a mark that none holds is between them.
     """
 
     MARK = "|"
     SUFFIX = "</w>"
-    #: Letters that normalizing leaves single letters, and a point.
-    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
+    #: Letters that normalizing leaves single letters; marks but the apostrophe, which can begin a word.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,8})")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 200_000, most_parts: int = 300_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
+        of_model = Tokenizer(tokenizer.model)
+        of_model.pre_tokenizer = WhitespaceSplit()
+        self._encode_words = of_model.encode_batch_fast
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._spelled = {c: as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)])}
         vocabulary = tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for w, i in vocabulary.items() if w.endswith(self.SUFFIX)]] = True
         (self._mark,) = self._together([self.MARK])
         self._most, self._known = most, {}
+        # parts that weren't asked for while so many others came are dropped
+        self._most_parts, self._parts, self._older = most_parts, {"": b""}, {}
 
     def _together(self, words: list[str], between: str = " ") -> np.ndarray:
         (found,) = self._encode([between.join(words)], add_special_tokens=False)
         return np.array(found.ids, dtype="<u4")
 
-    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    @staticmethod
+    def _keep(into: dict[str, bytes], words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(ends) != len(words):
             raise ValueError("the tokenizer doesn't keep stretches apart")
         raw = ids.tobytes()
-        for w, start, end in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
-            self._known[w] = raw[start:end]
+        into.update(zip(words, [raw[start:end] for start, end in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Puts words of letters in lower case among the parts."""
+        joined = " ".join(words)
+        for c in set(joined) & self._spelled.keys():
+            joined = joined.replace(c, self._spelled[c])
+        (found,) = self._encode_words([joined], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        self._keep(self._parts, words, ids, np.concatenate([[0], ends[:-1]]), ends)
 
     def _learn(self, words: set[str]) -> None:
-        plain, counts, other = [], [], []
+        plain, other, fits = [], [], self.PLAIN.fullmatch
         for w in words:
-            if fits := self.PLAIN.fullmatch(w):
-                plain.append(w)
-                counts.append(2 if fits[1] else 1)
+            if w.isascii() and w.isalpha():
+                plain.append((w, w.lower(), ""))
+            elif found := fits(w):
+                plain.append((w, found[1].lower(), found[2]))
             elif self.MARK in w:
                 self._known[w] = self._together([w]).tobytes()
             else:
                 other.append(w)
         if plain:
-            ids = self._together(plain)
-            ends, last = np.flatnonzero(self._ends[ids]) + 1, np.cumsum(counts)
-            if len(ends) != last[-1]:
-                raise ValueError("the tokenizer doesn't keep words apart")
-            ends = ends[last - 1]
-            self._keep(plain, ids, np.concatenate([[0], ends[:-1]]), ends)
+            if len(self._parts) > self._most_parts:
+                self._older, self._parts = self._parts, {"": b""}
+            parts, older = self._parts, self._older
+            new = {w for _, w, _ in plain}.difference(parts)
+            for w in new & older.keys():
+                parts[w] = older[w]
+            if new := [w for w in new if w not in parts]:
+                self._learn_words(new)
+            for marks in {m for _, _, m in plain}.difference(parts):
+                parts[marks] = self._together([marks]).tobytes()
+            self._known.update([(w, parts[word] + parts[marks]) for w, word, marks in plain])
         if other:
             ids = self._together(other, f" {self.MARK} ")
             marks = np.flatnonzero(ids == self._mark)
-            self._keep(other, ids, np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]]))
+            self._keep(self._known, other, ids, np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]]))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
@@ -106,6 +134,12 @@ class Encoder:
         return np.frombuffer(self.raw([text])[0], dtype="<u4").tolist()
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker: the tasks it runs one after the other share what it keeps."""
+    return Encoder(path)
+
+
 #: Characters of the texts that are encoded together.
 TOGETHER = 20_000
 
@@ -132,7 +166,7 @@ def _cut_pieces(path: str, length: int, end_id: int, keep_ids: bool):
     schema = pa.schema([*fields, ("ids", pa.binary())] if keep_ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = _encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for ids, texts in _runs(batch):
