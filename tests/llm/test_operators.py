@@ -254,6 +254,18 @@ def test_packing(spark, documents, odd, none):
     assert packing.Encoder(packing.tokenizer_path()).ids(strange) == encoder.encode(strange, add_special_tokens=False).ids
 
 
+def test_encoder_with_few_words_kept():
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path(), most=40, most_parts=30)
+    rng, letters = random.Random(11), "abcdefgXYZàéîõüßÿÀÉ"
+    known = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)]
+    ends = ["", "", "", ".", ",", "!!", "$$$", ".###", "]", "[\\", "`{}~", "|", "|>", "'s", "'", "!" * 8, "." * 9, "^_", "7"]
+    for _ in range(150):
+        text = rng.choice(" \n\t").join(rng.choice(known) + rng.choice(ends) for _ in range(rng.randint(0, 40)))
+        assert encoder.ids(text) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     for _ in range(20):
