@@ -345,3 +345,28 @@ def test_near_duplicates_of_edited_copies(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
     assert len(set(root)) > 2
+
+
+def test_mixing_keeps_its_share_whatever_cells_are_rare(spark, documents):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source", "lang")
+    rare = spark.createDataFrame([(-1, "five words in one cell", "rare", "xx")], docs.schema)
+    before, after = ({r.doc_id: r for r in mixing.sample_mix(d).collect()} for d in (docs, docs.union(rare)))
+    for got in (before, after):
+        total = sum(r.n_tokens for r in got.values())
+        assert abs(sum(r.n_tokens * r.probability for r in got.values()) / total - mixing.KEPT_SHARE) < 1e-3
+        assert max(r.probability for r in got.values()) <= 1
+    assert max(abs(before[d].probability - after[d].probability) for d in before) < 0.05
+
+
+def test_bounded_raking(spark):
+    rows = [(s, la, "t", n) for (s, la), n in zip(itertools.product("abc", "xy"), (10, 20, 300, 400, 500, 600))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    target = lambda d: spark.createDataFrame(list(d.items()), "value string, target double")
+    goals = {"source": target({"a": 0.2, "b": 0.5, "c": 0.3}), "lang": target({"x": 0.55, "y": 0.45})}
+    raked = mixing.rake(cells, goals, 60)
+    here, there = ({(r.source, r.lang): r for r in mixing.bounded(raked, goals, 0.5, n, most=m).collect()} for n, m in ((60, 10), (6, 0)))
+    kept = lambda f: sum(r.n_tokens * r.probability for k, r in here.items() if f(*k))
+    # a gives all of its 30 tokens; b and c share the rest as 5 to 3
+    for got, want in ((kept(lambda s, la: s == "a"), 30), (kept(lambda s, la: s == "b"), 885 * 5 / 8), (kept(lambda s, la: la == "x"), 915 * 0.55)):
+        assert abs(got - want) < 1e-2
+    assert all(abs(here[k].probability - there[k].probability) < 1e-2 for k in here) and len(there) == 6
