@@ -370,3 +370,16 @@ def test_bounded_raking(spark):
     for got, want in ((kept(lambda s, la: s == "a"), 30), (kept(lambda s, la: s == "b"), 885 * 5 / 8), (kept(lambda s, la: la == "x"), 915 * 0.55)):
         assert abs(got - want) < 1e-2
     assert all(abs(here[k].probability - there[k].probability) < 1e-2 for k in here) and len(there) == 6
+
+
+def test_distrust_whatever_the_number_of_blocked_hosts(spark):
+    page = lambda host, *to: (f"http://{host}/", " ".join(f'<a href="http://{t}/">' for t in to))
+    rows = [page(f"spam{n}.net") for n in range(3000)] + [page("huge.net")] * 3000
+    rows += [page("one.com", "spam7.net"), page("two.com", "spam8.net"), page("three.com", "spam8.net"), page("four.com", "plain.com"), page("plain.com")]
+    rows += [page("c0.com", "spam9.net")] + [page(f"c{n}.com", f"c{n - 1}.com") for n in range(1, 21)]  # a chain of 21 links
+    rows += [("http://good.org/fr/", '<a href="http://both.com/"><a href="http://both.com/"><a href="http://plain.com/">'), page("both.com", "spam8.net")]
+    pages = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judge_pages(pages).where("rule IS NULL").collect()}
+    blocked = {h for h, r in got.items() if r.verdict == "block"}
+    assert blocked == {"one.com", "two.com", "three.com", *(f"c{n}.com" for n in range(21))}
+    assert got["both.com"].trust > got["both.com"].distrust > 0 and got["four.com"].distrust == 0

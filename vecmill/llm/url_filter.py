@@ -2,7 +2,7 @@
 
 Method: personalised PageRank from trusted seed hosts along the links between
 hosts, and distrust from blocked seed hosts along the reversed links; a host is
-blocked where its distrust reaches a threshold and exceeds its trust.
+blocked where its distrust exceeds a share of its distrust and trust together.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ RULES = (
     UrlRule("block", "example.com", "/de/"),
     UrlRule("allow", "org", "/fr/"),
 )
-ROUNDS = 12
 DAMPING = 0.85
-THRESHOLD = 1e-4
+#: Propagation ends once the mass that still moves is below this, where a seed's page has mass 1.
+RESIDUAL = 1e-6
+#: A host is blocked where distrust / (trust + distrust) is over this; both count by the mass of their seeds, not by shares of it.
+THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,29 +70,28 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): PageRank with restarts at ``seeds`` (host, mass; the masses are normalised).
+def propagate(links: DataFrame, seeds: DataFrame, residual: float = RESIDUAL, damping: float = DAMPING) -> DataFrame:
+    """(host, score): PageRank with restarts at ``seeds`` (host, mass; the masses are not normalised).
 
+    Mass moves on until less than ``residual`` does, so that no other seed bears on what one seed gives.
     Mass at a host without links is lost; scores are at least those of the restarts.
     """
-    total = seeds.agg(F.sum("mass").alias("total"))
-    start = cut(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("mass") / F.col("total")).alias("score")))  # one row
-    if links.isEmpty() or start.isEmpty():
-        return start.select("host", ((1 - damping) * F.col("score")).alias("score"))
+    now = cut(seeds.select("host", ((1 - damping) * F.col("mass")).alias("score")).withColumn("moving", F.col("score")))
+    if links.isEmpty() or now.isEmpty():
+        return now.select("host", "score")
     degree = links.groupBy("src").agg(F.sum("weight").alias("degree"))
     steps = cut(links.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")))
-    restart = start.select("host", ((1 - damping) * F.col("score")).alias("score"))
-    now = start
-    for _ in range(rounds):
-        moved = steps.join(now.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score")
+    while (now.agg(F.sum("moving")).first()[0] or 0.0) >= residual:
+        moved = steps.join(now.where("moving > 0").select(F.col("host").alias("src"), "moving"), "src").select(
+            F.col("dst").alias("host"), (damping * F.col("share") * F.col("moving")).alias("score")
         )
-        now = cut(moved.unionByName(restart).groupBy("host").agg(F.sum("score").alias("score")))
-    return now
+        both = now.select("host", "score", F.lit(0.0).alias("moving")).unionByName(moved.withColumn("moving", F.col("score")))
+        now = cut(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")))
+    return now.select("host", "score")
 
 
 def judge_pages(
-    pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS
+    pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = THRESHOLD, residual: float = RESIDUAL
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each row of ``pages`` (page_id, url, html).
 
@@ -114,9 +115,9 @@ def judge_pages(
         )
     )
     links = cut(host_links(seen))
-    trust = propagate(links, by_host.where("allowed > 0 AND blocked = 0").select("host", F.col("allowed").alias("mass")), rounds)
+    trust = propagate(links, by_host.where("allowed > 0 AND blocked = 0").select("host", F.col("allowed").alias("mass")), residual)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, by_host.where("blocked > 0").select("host", F.col("blocked").alias("mass")), rounds)
+    distrust = propagate(back, by_host.where("blocked > 0").select("host", F.col("blocked").alias("mass")), residual)
     scores = cut(
         trust.withColumnRenamed("score", "trust")
         .join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
@@ -124,7 +125,7 @@ def judge_pages(
     )
     # plain scans on both sides: a host with a third of all pages is split as the join runs
     placed = ruled.select("page_id", "host", "path", "fit").join(scores, "host", "left")
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    bad = (F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
     return placed.select(
         "page_id",
         "host",
