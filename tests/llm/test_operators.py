@@ -383,3 +383,14 @@ def test_distrust_whatever_the_number_of_blocked_hosts(spark):
     blocked = {h for h, r in got.items() if r.verdict == "block"}
     assert blocked == {"one.com", "two.com", "three.com", *(f"c{n}.com" for n in range(21))}
     assert got["both.com"].trust > got["both.com"].distrust > 0 and got["four.com"].distrust == 0
+
+
+def test_distrust_of_hosts_without_pages(spark):
+    rows = [
+        ("http://bad.com/", '<a href="http://spam.net/">'), ("http://bare.com/", '<a href="https://SPAM.net">'), ("http://relative.com/", "<a href=//other.net/x?y>"),
+        ("http://fine.com/", '<a href="http://a.example.net/en/1"><a href="http://example.com/de/"><a href="/net/"><a href="http://plain.com/">'),
+        ("http://far.com/", '<a href="//bad.com/">'), ("http://seen.com/", '<a href="//example.net/b">'), ("http://www.example.net/en/", None),
+    ]
+    pages = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_filter.judge_pages(pages).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.com", "bare.com", "relative.com", "far.com", "seen.com"}

@@ -57,16 +57,29 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> C
     return out
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links of pages (host, html) to other hosts, counted by pair of hosts."""
-    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?(https?://[^\s"'<>]+)"""), F.lit(1))
+def whole_hosts(rules: tuple[UrlRule, ...]) -> list[str]:
+    """Names of the rules that block hosts as a whole: their path is ``/``."""
+    return [r.name for r in rules if r.verdict == "block" and r.path == "/"]
+
+
+def host_links(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """(src, dst, weight, blocked): links of pages (host, html) to other hosts, counted by pair of hosts.
+
+    Links are absolute (http, https) or begin with ``//``. ``blocked`` are those
+    that a rule for whole hosts decides; without a path, a link counts as to ``/``.
+    """
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?((?:https?:)?//[^\s"'<>]+)"""), F.lit(1))
+    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
+    path = F.when(path_of(F.col("to")) == "", "/").otherwise(path_of(F.col("to")))
     return (
         pages.where(F.col("host") != "")
         .select(F.col("host").alias("src"), F.explode(found).alias("to"))
-        .select("src", host_of(F.col("to")).alias("dst"))
+        .select("src", to.alias("to"))
+        .select("src", host_of(F.col("to")).alias("dst"), path.alias("path"))
         .where("dst <> '' AND src <> dst")
+        .withColumn("bad", rule_of(F.col("dst"), F.col("path"), rules)["rule"].isin(whole_hosts(rules)))
         .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        .agg(F.count(F.lit(1)).alias("weight"), F.count(F.when(F.col("bad"), 1)).alias("blocked"))
     )
 
 
@@ -96,14 +109,16 @@ def judge_pages(
     """page_id, host, path, rule, verdict, trust, distrust of each row of ``pages`` (page_id, url, html).
 
     A page that a rule fits has its verdict. Seeds of distrust are the hosts that
-    a rule blocks as a whole (its path is ``/``), by their pages; seeds of trust
-    are the hosts of allowed pages, other than those. Other pages are blocked with
+    a rule blocks as a whole (its path is ``/``), by their pages, or, where a host
+    has none, by the links to it that such a rule decides; seeds of trust are the
+    hosts of allowed pages, other than those (a host without pages links to none,
+    and would pass no trust on). Other pages are blocked with
     their host, else allowed. A null url, or one without ``://``, has an empty
     host and path: no rule fits, and it is allowed. Null ids and repeated rows are
     rows like any other; a null html has no links. Other columns are not read. No
     rows give no rows.
     """
-    whole = [r.name for r in rules if r.verdict == "block" and r.path == "/"]
+    whole = whole_hosts(rules)
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = seen.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     by_host = cut(
@@ -114,10 +129,12 @@ def judge_pages(
             F.count(F.when(F.col("fit.rule").isin(whole), 1)).alias("blocked"),
         )
     )
-    links = cut(host_links(seen))
+    links = cut(host_links(seen, rules))
+    unseen = links.groupBy(F.col("dst").alias("host")).agg(F.sum("blocked").alias("mass")).join(by_host, "host", "left_anti")
+    blocked = by_host.select("host", F.col("blocked").alias("mass")).unionByName(unseen).where("mass > 0")
     trust = propagate(links, by_host.where("allowed > 0 AND blocked = 0").select("host", F.col("allowed").alias("mass")), residual)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, by_host.where("blocked > 0").select("host", F.col("blocked").alias("mass")), residual)
+    distrust = propagate(back, blocked, residual)
     scores = cut(
         trust.withColumnRenamed("score", "trust")
         .join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
