@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vecmill.database import VectorDb
+from vecmill.plans import registry
 from vecmill.plans.registry import ORACLES, QUERIES
 from vecmill.sources.index import attached_table, compile_index, compile_stream, load_index
 from vecmill.streaming.delta import DeltaBuffer
@@ -120,3 +121,14 @@ def test_ingest(spark, tmp_path):
     stream = spark.readStream.schema("id long, vector array<float>, op int").parquet(f"{tmp_path}/in")
     buffer.ingest(stream, f"{tmp_path}/at").awaitTermination()
     assert buffer.size() == 10
+
+
+def test_energy_of_second_moments(spark):
+    rows = [list(map(float, r.embedding)) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    spectrum = lambda x: np.cumsum(v := np.linalg.svd(np.array(x), compute_uv=False) ** 2) / v.sum()
+    got = [r.phi for r in QUERIES["energy_phi"](spark, DATA).orderBy("k").collect()]
+    assert np.allclose(got, spectrum(rows), atol=1e-9)
+    base = np.random.default_rng(3).normal(size=(200, 2)) @ np.random.default_rng(4).normal(size=(2, 8))  # of rank 2
+    frame = spark.createDataFrame([([float(v) for v in r],) for r in base] + [(None,)], "vector array<double>")
+    got = registry.moment_energy(registry.second_moments(frame, 8), 8)
+    assert np.allclose(got, spectrum(base), atol=1e-9) and got[1] > 1 - 1e-9

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -227,11 +228,37 @@ def geodetic_morton(spark, sf_dir):
     return _base(spark, sf_dir).select("id", morton(lat, lon).alias("code"))
 
 
+def second_moments(rows: DataFrame, dim: int = DIM) -> DataFrame:
+    """(i, j, m): the sum of x_i * x_j over all vectors; each task passes on one partial sum of dim * dim values.
+
+    Null vectors are left out, and null components count as 0.
+    """
+
+    def partial(batches):
+        total = np.zeros((dim, dim))
+        for batch in batches:
+            x = batch.column(0).drop_null()
+            if len(x):
+                x = x.flatten().fill_null(0).to_numpy(zero_copy_only=False).reshape(len(x), dim).astype(np.float64)
+                total += x.T @ x
+        i, j = np.divmod(np.arange(dim * dim, dtype=np.int32), dim)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], names=["i", "j", "m"])
+
+    return rows.select("vector").mapInArrow(partial, "i int, j int, m double").groupBy("i", "j").agg(F.sum("m").alias("m"))
+
+
+def moment_energy(moments: DataFrame, dim: int = DIM) -> np.ndarray:
+    """Cumulative spectral energy of ``moments``: its singular values squared are those of a square root's."""
+    full = np.zeros((dim, dim))
+    for r in moments.collect():  # dim * dim rows
+        full[r.i, r.j] = r.m
+    values, vectors = np.linalg.eigh((full + full.T) / 2)
+    return spectral_energy(vectors * np.sqrt(np.clip(values, 0, None)))
+
+
 def energy_phi(spark, sf_dir):
     """Cumulative spectral energy of the embeddings' second moments, which partial sums gather (D * D values)."""
-    rows = _base(spark, sf_dir).select("id", F.posexplode("vector").alias("i", "v"))
-    moments = rows.groupBy("i").agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("m")).orderBy("i").collect()
-    phi = spectral_energy(np.diag(np.sqrt([r.m for r in moments])))
+    phi = moment_energy(second_moments(_base(spark, sf_dir)))
     return spark.createDataFrame([(k + 1, float(p)) for k, p in enumerate(phi)], "k int, phi double")
 
 
