@@ -394,3 +394,13 @@ def test_distrust_of_hosts_without_pages(spark):
     pages = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id long, url string, html string")
     got = {r.host: r.verdict for r in url_filter.judge_pages(pages).collect()}
     assert {h for h, v in got.items() if v == "block"} == {"bad.com", "bare.com", "relative.com", "far.com", "seen.com"}
+
+
+def test_covered_limit_rejects_what_the_base_keeps(spark):
+    passage = lambda n: " ".join(f"p{i}" for i in range(n))
+    rest = lambda n: " ".join(f"r{i}" for i in range(n))
+    rows = [(1, f"{passage(15)} x {passage(15)} {rest(169)}"), (2, f"{passage(9)} x {passage(9)} {rest(181)}"), (3, f"{passage(7)} x {passage(7)} {rest(85)}")]
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[n].n_words, got[n].n_repeat_words, got[n].n_covered) for n in (1, 2, 3)] == [(200, 30, 30), (200, 18, 18), (100, 14, 0)]
+    assert not any(r.base_failed or r.longest_repeat > quality.MAX_LONGEST for r in got.values())
+    assert not got[1].kept and got[2].kept and got[3].kept

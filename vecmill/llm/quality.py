@@ -20,7 +20,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Repeats of at least so many words count for the method.
 MIN_REPEAT = 8
-MAX_COVERED = 0.2
+#: Half of the base's limit: repeats of MIN_REPEAT words are among those of WINDOW words, so at 20 % the base fails first.
+MAX_COVERED = 0.1
 MAX_LONGEST = 50
 SYMBOLS = b"#*$%&|<>"
 
