@@ -404,3 +404,25 @@ def test_covered_limit_rejects_what_the_base_keeps(spark):
     assert [(got[n].n_words, got[n].n_repeat_words, got[n].n_covered) for n in (1, 2, 3)] == [(200, 30, 30), (200, 18, 18), (100, 14, 0)]
     assert not any(r.base_failed or r.longest_repeat > quality.MAX_LONGEST for r in got.values())
     assert not got[1].kept and got[2].kept and got[3].kept
+
+
+def test_shards_of_a_capacity(spark):
+    rng = random.Random(8)
+    groups = {n: [rng.randint(1, 30) for _ in range(rng.randint(1, 3))] for n in range(60)} | {60: [70, 70]}
+    frame = spark.createDataFrame([(n, -n, s) for n, g in groups.items() for s in g], "g1 long, g2 long, size long")
+    rows = sharding.shard_groups(frame, capacity=100).collect()
+    load, of = Counter(), {}
+    for r in rows:
+        load[r.shard] += r.size
+        assert of.setdefault(r.g1, r.shard) == r.shard
+    assert len(rows) == frame.count() and [n for n in of if of[n] == of[60]] == [60]
+    assert all(b <= 100 for s, b in load.items() if s != of[60])
+    sizes = sorted((sum(g) for g in groups.values()), reverse=True)
+    assert len(load) == max(sharding.best_fit_decreasing(sizes, 100)) + 1 <= 1.25 * sum(sizes) / 100 + 1
+    lumps = Counter()
+    for r in sharding.shard_groups(frame, capacity=600, n_items=20).collect():
+        lumps[r.shard] += r.size
+    assert sum(lumps.values()) == sum(sizes) and max(lumps.values()) <= 600
+    for wrong in ({}, {"shards": 2, "capacity": 9}, {"capacity": 0}, {"capacity": 60, "n_items": 2}):
+        with pytest.raises(ValueError):
+            sharding.shard_groups(frame, **wrong)

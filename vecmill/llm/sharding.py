@@ -112,11 +112,20 @@ def near_equal(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
-def shard_groups(rows: DataFrame, shards: int, n_items: int = N_ITEMS) -> DataFrame:
+def shard_groups(rows: DataFrame, shards: int | None = None, n_items: int = N_ITEMS, capacity: int | None = None) -> DataFrame:
     """``rows`` (with long columns g1, g2: the group's identity; size: at least 1) with int ``shard``.
 
-    A group never spans shards. One that is larger than a fair share fills a shard alone.
+    With ``shards``, that many of near equal size: a group that is larger than a
+    fair share fills a shard alone. With ``capacity``, as few shards of at most so
+    many bytes as best-fit decreasing finds: a group that is larger fills a shard
+    alone. A group never spans shards. Groups under 1 / ``n_items`` of all bytes
+    are packed as lumps, by hash; where a lump of several groups is over the
+    capacity, a ValueError asks for more items.
     """
+    if (shards is None) == (capacity is None):
+        raise ValueError("either shards or a capacity is needed")
+    if capacity is not None and capacity < 1:
+        raise ValueError("a capacity is positive")
     spark = rows.sparkSession
     groups = cut(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -125,11 +134,14 @@ def shard_groups(rows: DataFrame, shards: int, n_items: int = N_ITEMS) -> DataFr
     items = (
         groups.select(F.when(large, F.col("g1")).alias("i1"), F.when(large, F.col("g2")).otherwise(spread).alias("i2"), "bytes")
         .groupBy("i1", "i2")
-        .agg(F.sum("bytes").alias("bytes"))
+        .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
         .collect()  # n_items large groups and n_items slots for the others, at most
     )
     items.sort(key=lambda r: (-r.bytes, r.i1 is None, r.i1 or 0, r.i2))
-    placed = near_equal([r.bytes for r in items], shards)
+    if capacity is not None and any(r.n > 1 and r.bytes > capacity for r in items):
+        raise ValueError(f"a lump of small groups is over the capacity of {capacity}: n_items over {n_items} are needed")
+    sizes = [r.bytes for r in items]
+    placed = near_equal(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
     alone = [(r.i1, r.i2, b) for r, b in zip(items, placed) if r.i1 is not None]
     joint = [(r.i2, b) for r, b in zip(items, placed) if r.i1 is None]
     # of proven size: n_items rows at most each
