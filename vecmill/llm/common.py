@@ -7,9 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of white space in every contract of this subpackage: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -47,17 +45,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
 
 
-def hash128(column: Column) -> list[Column]:
-    """Two hashes of 64 bits with independent seeds: an identity without the text."""
-    return [F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), column).alias("h2")]
-
-
-def own_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` with just these columns, whatever other columns there are."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables that ``shared_table`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["_written_at"])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -96,7 +93,3 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(w):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : n - w + 1 + k]
     return np.unique(mix64(h))
-
-
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)

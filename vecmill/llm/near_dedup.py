@@ -10,10 +10,14 @@ another component: no pair is lost by that, as a pair that meets in table (i, j)
 shares both halves. Links are found in rounds. Each joins components, and pairs
 within a component need no test. First each node meets one other: of those that
 share most keys with most nodes, which is the text that edited copies come from.
-Then, in each bucket, so many members (pivots) meet all others that after the last
-round every pair that spans components has been met. Members
-are left out of a bucket whose shingles that other components hold are too few for
-a link with any size of text in it; an intersection can't have more.
+These rounds go on while they join many nodes. Then, of all tables that span
+components, every pair is met that spans components, once: in the first half key
+that it shares.
+
+Before sets are read, two exact bounds rule pairs out. A node whose shingles other
+components hold are too few for a link is left out; an intersection can't have
+more. And each node has a bitmap of its shingles' hashes: of the bits that one node
+has and the other lacks, each stands for a shingle that the other lacks.
 
 With r = 3 and m = 20, documents of similarity s meet with probability
 (1 - (1 - s^3)^20)^2: 0.99996 at 0.75, 0.9999999 at 0.85.
@@ -22,13 +26,15 @@ With r = 3 and m = 20, documents of similarity s meet with probability
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import WordHashes, mix64, shared_table, shingle_hashes, table
+from vecmill.llm.common import WordHashes, drop_tables, mix64, shared_table, shingle_hashes, table
 from vecmill.llm.components import connected_components
 
 WIDTH = 5
@@ -38,10 +44,10 @@ R = 3
 #: A pair of similarity 0.75 shares 17 of 40 keys on average, and under MIN_SHARED
 #: with probability 2e-5; pairs below it are not looked up.
 MIN_SHARED = 4
-#: Rounds in which each node meets one other; they join most of a large group in pairs as few as its members.
-STAR_ROUNDS = 3
-FIRST_PIVOTS = 16
-MORE_PIVOTS = 16
+#: Bits of a node's bitmap.
+BITS = 1024
+#: Rounds in which each node meets one other go on while they find links for 1 of so many nodes.
+FEW = 100
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,14 +108,24 @@ def _sign(width: int, m: int, r: int):
     return run
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    marks = np.zeros(BITS, dtype=bool)
+    marks[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view("<i8")
+
+
+_SETS = "node long, shingles binary, marks array<long>"
+
+
 def _sets(width: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(hashes.of(words_of(t.as_py())), width).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=schema)
+            sets = [shingle_hashes(hashes.of(words_of(t.as_py())), width) for t in batch.column("text")]
+            marks = pa.array([_bitmap(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), marks], schema=schema)
 
     return run
 
@@ -140,10 +156,13 @@ def _confirm(percent: int):
     return run
 
 
+def _all(parts) -> Column:
+    return reduce(lambda x, y: x & y, parts)
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, m: int, width: int, percent: int):
         self.docs, self.nodes, self.m, self.width, self.percent = docs, nodes, m, width, percent
-        self.tested: DataFrame | None = None
         self.known: DataFrame | None = None
 
     def shared_keys(self, rows: DataFrame) -> DataFrame:
@@ -162,46 +181,62 @@ class _Linker:
             .groupBy("node")
             .agg(F.collect_list(F.struct("slot", "key")).alias("keys"), F.sum("c").alias("weight"))  # 2m keys at most
             .withColumns({"a": half(True), "b": half(False)})
-            .where((F.size("a") > 0) & (F.size("b") > 0))
+            .where((F.size("a") > 0) & (F.size("b") > 0) & (F.size("keys") >= MIN_SHARED))
             .select("node", F.col("keys").alias("live"), "weight", "a", "b")
         )
-        return shared_table(rows.select("node", "comp", "size", "n").join(found, "node"), "shared-keys")
+        out = shared_table(rows.select("node", "comp", "size", "n").join(found, "node"), "shared-keys")
+        drop_tables(live)
+        # only these nodes and keys can still meet one of another component
+        self.nodes = out.select("node", "n", F.col("live").alias("keys"))
+        return out
 
     def build_sets(self, shared: DataFrame) -> None:
         wanted = shared_table(shared.select(F.col("node").alias("doc_id")).distinct(), "sharing-nodes")
         chosen = self.docs.join(wanted, "doc_id", "left_semi")
-        self.sets = shared_table(chosen.mapInArrow(_sets(self.width), "node long, shingles binary"), "shingle-sets")
+        self.sets = shared_table(chosen.mapInArrow(_sets(self.width), _SETS), "shingle-sets")
+        drop_tables(wanted)
+        bits = reduce(add, [F.bit_count(F.col("marks")[k]) for k in range(BITS // 64)])
+        spare = (F.octet_length("shingles") / 8).cast("long") - bits
+        self.sketches = self.sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), spare.alias("spare"), "marks")
 
-    def verify(self, pairs: DataFrame, shared: DataFrame) -> bool:
-        """Joins the components of linked ``pairs`` (u < v, distinct); whether there were any."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
+    def may_link(self, p: str, q: str) -> Column:
+        """Whether the bitmaps of nodes (n, spare, marks, with these prefixes) leave a link possible.
+
+        ``spare`` is a node's shingles less its bits, so that the intersection is at most the common bits and the smaller spare.
+        """
+        both = reduce(add, [F.bit_count(F.col(f"{p}marks")[k].bitwiseAND(F.col(f"{q}marks")[k])) for k in range(BITS // 64)])
+        most = both + F.least(f"{p}spare", f"{q}spare")
+        return (100 + self.percent) * most >= self.percent * (F.col(f"{p}n") + F.col(f"{q}n"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (u, v) that sizes and bitmaps leave possible."""
+        side = lambda x: self.sketches.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "spare", "marks")])
+        met = pairs.join(side("u"), "u").join(side("v"), "v")
+        return met.where((100 * F.least("u_n", "v_n") >= self.percent * F.greatest("u_n", "v_n")) & self.may_link("u_", "v_")).select("u", "v")
+
+    def verify(self, pairs: DataFrame) -> int:
+        """Joins the components of linked ``pairs`` (u < v, distinct); how many are linked."""
         pairs = shared_table(pairs, "pairs")
-        brief = shared.select("node", "n", F.transform("live", lambda k: k["key"]).alias("live"))
-        side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("live").alias(f"live_{x}"))
-        least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-        likely = (
-            pairs.join(side("u"), "u")
-            .join(side("v"), "v")
-            .where((100 * least >= self.percent * most) & (F.size(F.array_intersect("live_u", "live_v")) >= MIN_SHARED))
-            .select("u", "v")
-        )
-        full = lambda x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-        found = likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
+        # the sets of these nodes alone are dealt out
+        wanted = shared_table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired")
+        few = self.sets.select("node", "shingles").join(wanted, "node", "left_semi")
+        full = lambda x: few.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+        found = pairs.join(full("u"), "u").join(full("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
         links = shared_table(found, "links")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if links.isEmpty():
-            return False
+        drop_tables(pairs, wanted)
+        n_links = links.count()
+        if not n_links:
+            return 0
         if self.known is None:
             self.known = connected_components(links).withColumnRenamed("root", "comp")
-            return True
+            return n_links
         of = lambda x: self.known.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
         edges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("comp_u", "u").alias("u"), F.coalesce("comp_v", "v").alias("v"))
         roots = connected_components(edges)
         moved = self.known.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
         new = roots.join(self.known.select("node"), "node", "left_anti").select("node", F.col("root").alias("comp"))
         self.known = shared_table(moved.unionByName(new), "components")
-        return True
+        return n_links
 
     def labelled(self) -> DataFrame:
         """The nodes with their components so far, and the components' sizes."""
@@ -233,16 +268,10 @@ class _Linker:
         )
         return chosen.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
-    def open_buckets(self, tables: DataFrame) -> DataFrame:
-        """(t, rest, low, high): buckets with several components, their members outside the largest, the smallest set and the largest ``most``."""
-        by_comp = tables.groupBy("t", "comp", "size").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("most").alias("high"))
-        found = by_comp.groupBy("t").agg(
-            F.count(F.lit(1)).alias("comps"),
-            (F.sum("c") - F.max(F.struct("size", "comp", "c"))["c"]).alias("rest"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-        )
-        return found.where("comps > 1").select("t", "rest", "low", "high")
+    def open_tables(self, tables: DataFrame) -> DataFrame:
+        """(t, low, high): tables' buckets with several components, their smallest set and largest ``most``."""
+        found = tables.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("low"), F.max("most").alias("high"))
+        return found.where("x < y").select("t", "low", "high")
 
     def reaching(self, shared: DataFrame) -> DataFrame:
         """``shared`` with ``most``, the size of the largest set that each node can be linked with; without nodes of none.
@@ -251,64 +280,74 @@ class _Linker:
         min(c, k), so that percent * (n + k - c) <= 100 * c.
         """
         comps = shared.select("node", "comp")
-        each = self.sets.join(comps.select("node"), "node", "left_semi").mapInArrow(_listed, "node long, shingles array<long>")
-        each = shared_table(each.join(comps, "node"), "listed-sets").select("node", "comp", F.explode("shingles").alias("s"))
+        each = self.sets.select("node", "shingles").join(comps.select("node"), "node", "left_semi").mapInArrow(_listed, "node long, shingles array<long>")
+        listed = shared_table(each.join(comps, "node"), "listed-sets")
+        each = listed.select("node", "comp", F.explode("shingles").alias("s"))
         spans = each.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-        counts = each.join(shared_table(spans.select("s"), "spanning"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        spanning = shared_table(spans.select("s"), "spanning")
+        counts = each.join(spanning, "s").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
         most = F.floor(((100 + self.percent) * F.col("c") - self.percent * F.col("n")) / self.percent)
-        rows = shared.join(shared_table(counts, "spanning-counts"), "node").withColumn("most", most).drop("c")
-        return shared_table(rows.where(100 * F.col("most") >= self.percent * F.col("n")), "reaching")
+        rows = shared.join(counts, "node").withColumn("most", most).drop("c")
+        out = shared_table(rows.where(100 * F.col("most") >= self.percent * F.col("n")), "reaching")
+        drop_tables(listed, spanning)
+        return out
+
+    def meetings(self, shared: DataFrame) -> DataFrame:
+        """Each pair (u < v) of nodes that share a table and whose components differ, if bounds leave a link possible.
+
+        Members of a table meet by the first half of its key; of the half keys that a
+        pair shares, in the first alone. There all but the bucket's largest component
+        meet all others.
+        """
+        keys = shared.select("node", "comp", "n", "most", F.explode("a").alias("a"), "b")
+        tables = keys.select("node", "comp", "n", "most", "a", F.explode("b").alias("b")).withColumn("t", F.xxhash64("a.key", "b.key"))
+        tables = tables.select("t", "node", "comp", "n", "most", "a.slot", F.col("a.key").alias("half"))
+        buckets = shared_table(self.open_tables(tables), "open-tables")
+        able = shared_table(tables.join(buckets, "t").where("most >= low AND high >= n").drop("low", "high"), "able")
+        left = shared_table(self.open_tables(able).select("t"), "tables-left")
+        places = shared_table(able.join(left, "t").select("half", "slot", "node", "comp").distinct(), "places")
+        drop_tables(buckets, able, left)
+        by_comp = places.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mains = by_comp.groupBy("half").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+        # by slot: 32 bits of the first half's key, and of the second's; a key that isn't shared is replaced by another
+        key = lambda k: F.coalesce(F.element_at("by_slot", F.lit(k)), F.xxhash64("node", F.lit(k)))
+        high = F.lit(-1 << 32)
+        packed = F.array(*[key(k).bitwiseAND(high).bitwiseOR(F.shiftrightunsigned(key(self.m + k), 32)) for k in range(self.m)])
+        packs = shared.withColumn("by_slot", F.map_from_entries("live")).select("node", "most", packed.alias("packed"))
+        sketched = shared_table(packs.join(self.sketches, "node"), "sketches")
+        rows = places.join(mains, "half").withColumn("head", F.col("comp") != F.col("main")).drop("main")
+        members = shared_table(rows.join(sketched, "node"), "members")
+        heads = members.where("head").select(*[F.col(c).alias(f"p_{c}") for c in members.columns])
+        differ = [F.col("packed")[k].bitwiseXOR(F.col("p_packed")[k]) for k in range(self.m)]
+        same_a = [F.shiftrightunsigned(x, 32) == 0 for x in differ]
+        same_b = [x.bitwiseAND(F.lit((1 << 32) - 1)) == 0 for x in differ]
+        count = lambda each: reduce(add, [F.when(x, 1).otherwise(0) for x in each])
+        on = _all([
+            F.col("half") == F.col("p_half"),
+            F.col("comp") != F.col("p_comp"),
+            ~F.col("head") | (F.col("node") < F.col("p_node")),
+            (F.col("n") <= F.col("p_most")) & (F.col("p_n") <= F.col("most")),
+            100 * F.least("n", "p_n") >= self.percent * F.greatest("n", "p_n"),
+            self.may_link("", "p_"),
+            ~reduce(lambda x, y: x | y, [(F.col("slot") > k) & same_a[k] for k in range(self.m)]),
+            count(same_b) > 0,
+            count([*same_a, *same_b]) >= MIN_SHARED,
+        ])
+        return members.join(heads, on).select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v"))
 
     def run(self) -> DataFrame | None:
         """(node, comp) of all nodes with links; None if there are none."""
         shared = self.shared_keys(self.labelled())
-        # Only these nodes and keys can still meet one of another component.
-        self.nodes = shared.select("node", "n", F.col("live").alias("keys"))
         self.build_sets(shared)
-        for turn in range(STAR_ROUNDS):
-            if turn:
-                shared = self.shared_keys(self.labelled())
-            if not self.verify(self.stars(shared, turn), shared) and turn:
-                break
-        pivots = FIRST_PIVOTS
-        while True:
-            shared = self.reaching(self.shared_keys(self.labelled()))
-            kept = ("node", "comp", "size", "n", "most")
-            keys = shared.select(*kept, F.explode("a").alias("a"), "b").select(*kept, "a", F.explode("b").alias("b"))
-            tables = keys.select(*kept, F.xxhash64("a.key", "b.key").alias("t"))
-            buckets = shared_table(self.open_buckets(tables), "buckets")
-            able = tables.join(buckets, "t").where("most >= low AND high >= n").select("t", *kept)
-            able = shared_table(able, "members")
-            left = shared_table(self.open_buckets(able), "left")
-            most = left.agg(F.max("rest")).first()[0]
-            if most is None:
-                break
-            members = shared_table(able.join(left.select("t"), "t"), "meeting")
-            # the members of the bucket's largest component come last
-            order = F.row_number().over(_by_bucket())
-            heads = members.withColumn("nth", order).where(F.col("nth") <= pivots)
-            heads = heads.select("t", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("most").alias("pmost"))
-            fits = (F.col("comp") != F.col("pc")) & (F.col("n") <= F.col("pmost")) & (F.col("pn") <= F.col("most"))
-            sizes = 100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")
-            pairs = (
-                members.alias("m")
-                .join(heads.withColumnRenamed("t", "ht"), (F.col("t") == F.col("ht")) & fits & sizes)
-                .select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v"))
-                .distinct()
-            )
-            self.verify(pairs, shared)
-            if most <= pivots:
-                break
-            pivots *= MORE_PIVOTS
+        turn, n_nodes = 0, shared.count()
+        while self.verify(self.similar(self.stars(shared, turn))) * FEW > n_nodes:
+            shared, turn = self.shared_keys(self.labelled()), turn + 1
+        if turn or self.known is not None:
+            shared = self.shared_keys(self.labelled())
+        self.verify(self.meetings(self.reaching(shared)))
         return self.known
 
 
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("t").orderBy("size", "comp", "node")
-
-
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, m: int = M, r: int = R
 ) -> DataFrame:
