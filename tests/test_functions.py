@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from vecmill.functions import codecs
-from vecmill.functions.transform import Rotation, pack_bits, quantise, rademacher_signs, spectral_energy, tier_for, unpack_bits
+from vecmill.functions.transform import Rotation, cosine_basis, pack_bits, quantise, rademacher_signs, spectral_energy, tier_for, unpack_bits
 
 
 def test_signs_are_the_known_ones():
@@ -20,6 +20,25 @@ def test_rotation_keeps_norms_and_inverts(dim, tiers):
     assert np.allclose(r.invert(z), x)
 
 
+def test_rotation_is_its_matrix():
+    for dim, tiers in ((64, [64]), (96, [32, 96]), (100, [10, 48, 90]), (7, [7])):
+        whole, start = np.eye(dim), 0
+        for end in tiers:
+            w = end - start
+            even = w & -w
+            i = np.arange(even)
+            signs = (1.0 - 2.0 * (np.bitwise_count(i[:, None] & i[None, :]) & 1)) / np.sqrt(even)
+            whole[start:end, start:end] = np.kron(signs, cosine_basis(w // even)) if even < w else signs
+            start = end
+        r, x = Rotation(dim, tiers), np.random.default_rng(7).normal(size=(9, dim))
+        assert np.allclose(r.apply(x), (x * r.signs) @ whole.T)
+        assert np.allclose(r.invert(x, legacy=True), (x @ whole.T) * r.signs)
+    own = np.where(np.arange(8) % 3 == 0, -1.0, 1.0)
+    assert np.allclose(Rotation(8, [8], own).apply(np.eye(8)), Rotation(8, [8], np.ones(8)).apply(np.diag(own)))
+    with pytest.raises(ValueError):
+        Rotation(8, [8], own[:7])
+
+
 @pytest.mark.parametrize("tiers", [[], [0], [8, 8], [16, 8], [200], list(range(1, 10))])
 def test_bad_tiers(tiers):
     with pytest.raises(ValueError):

@@ -16,13 +16,6 @@ def rademacher_signs(dim: int, seed: int = 42) -> np.ndarray:
     return out
 
 
-def hadamard(n: int) -> np.ndarray:
-    """Orthonormal, for n a power of two: the sign at (i, j) is the parity of i & j."""
-    i = np.arange(n)
-    parity = np.bitwise_count(i[:, None] & i[None, :]) & 1
-    return (1.0 - 2.0 * parity) / np.sqrt(n)
-
-
 def cosine_basis(n: int) -> np.ndarray:
     """The orthonormal DCT-II matrix."""
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
@@ -31,14 +24,23 @@ def cosine_basis(n: int) -> np.ndarray:
     return out
 
 
-def block(width: int) -> np.ndarray:
-    """Rotation of one tier: Hadamard over the power of two in ``width``, cosines over the odd rest."""
-    even = width & -width
-    return np.kron(hadamard(even), cosine_basis(width // even)) if even < width else hadamard(width)
+def butterfly(x: np.ndarray) -> np.ndarray:
+    """The orthonormal Hadamard transform of the second axis of (n, 2^k, m): k passes of sums and differences."""
+    n, size, m = x.shape
+    half = 1
+    while half < size:
+        pairs = x.reshape(n, size // (2 * half), 2, half, m)
+        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2)
+        half *= 2
+    return x.reshape(n, size, m) / np.sqrt(size)
 
 
 class Rotation:
-    """z = H (x * signs), H block-diagonal with one block for each tier."""
+    """z = H (x * signs), H block-diagonal with one block for each tier.
+
+    A block is Hadamard over the power of two in its width, cosines over the odd
+    rest. No matrix is kept but the cosines of the odd parts.
+    """
 
     def __init__(self, dim: int, tiers: list[int], signs: np.ndarray | None = None):
         if signs is not None and len(signs) != dim:
@@ -47,17 +49,28 @@ class Rotation:
             raise ValueError("1 to 8 tiers are needed, increasing, up to the dimension")
         self.dim, self.tiers = dim, list(tiers)
         self.signs = rademacher_signs(dim) if signs is None else np.asarray(signs, dtype=float)
-        self.matrix, start = np.eye(dim), 0
-        for end in tiers:
-            self.matrix[start:end, start:end] = block(end - start)
+        odd = {w // (w & -w) for w in np.diff([0, *self.tiers]).tolist()} - {1}
+        self._cosines = {w: cosine_basis(w) for w in odd}
+
+    def _turned(self, x: np.ndarray, back: bool) -> np.ndarray:
+        out, start = x.copy(), 0
+        for end in self.tiers:
+            width = end - start
+            even = width & -width
+            part = x[:, start:end].reshape(len(x), even, width // even)
+            if even < width:
+                basis = self._cosines[width // even]
+                part = part @ (basis if back else basis.T)
+            out[:, start:end] = butterfly(part).reshape(len(x), width)
             start = end
+        return out
 
     def apply(self, x: np.ndarray) -> np.ndarray:
-        return (np.asarray(x, dtype=np.float64) * self.signs) @ self.matrix.T
+        return self._turned(np.asarray(x, dtype=np.float64) * self.signs, False)
 
     def invert(self, z: np.ndarray, legacy: bool = False) -> np.ndarray:
         """By the transpose; ``legacy`` applies H again, an inverse only if all blocks are powers of two."""
-        return (np.asarray(z, dtype=np.float64) @ (self.matrix.T if legacy else self.matrix)) * self.signs
+        return self._turned(np.asarray(z, dtype=np.float64), not legacy) * self.signs
 
 
 def pack_bits(bits: np.ndarray) -> np.ndarray:
