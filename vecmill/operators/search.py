@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries up to this count are broadcast; more meet the rows without a hint.
+#: Queries up to this count are broadcast; more meet the rows in blocks (a cartesian product of partitions).
 MOST_BROADCAST = 20_000
+#: Candidates (queries x shortlist) up to this count are broadcast to the rows that they are fetched from.
+MOST_FETCHED = 200_000
 
 
-def meet(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row with every query: the stated query set is the small side."""
-    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return rows.crossJoin(F.broadcast(queries) if few else queries)
+def count_queries(queries: DataFrame) -> int:
+    """The number of queries, up to one over what is broadcast. To be asked before they are encoded."""
+    return queries.limit(MOST_BROADCAST + 1).count()
+
+
+def meet(rows: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
+    """Every row with every query: the stated query set is the small side. ``n_queries``: their count, where it is known."""
+    n = count_queries(queries) if n_queries is None else n_queries
+    return rows.crossJoin(F.broadcast(queries) if n <= MOST_BROADCAST else queries)
 
 
 def _masked(x: Column, bits: int) -> Column:
     return x if bits >= 64 else x.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def hamming(width: int, left: str = "s", right: str = "q_s") -> Column:
-    """Differing bits among the first ``width``."""
-    parts = [
-        F.bit_count(_masked(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}")), width - 64 * k)) for k in range(-(-width // 64))
-    ]
+def hamming(width: int, left: str = "s", right: Column | None = None) -> Column:
+    """Differing bits among the first ``width`` of the words s0, .. and q_s0, ..; the latter of a struct ``right`` if there is one."""
+    other = lambda k: F.col(f"q_s{k}") if right is None else right[f"q_s{k}"]
+    parts = [F.bit_count(_masked(F.col(f"{left}{k}").bitwiseXOR(other(k)), width - 64 * k)) for k in range(-(-width // 64))]
     return reduce(add, parts).cast("int")
 
 
@@ -66,22 +73,21 @@ def ranked(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", n_queries: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) over (id, vector): squared L2 or cosine (highest first)."""
     if metric not in ("l2", "cosine"):
         raise ValueError("metric: l2 or cosine")
-    pairs = meet(rows.select("id", "vector"), prefixed(queries.select("id", "vector")))
+    pairs = meet(rows.select("id", "vector"), prefixed(queries.select("id", "vector")), n_queries)
     value = l2_squared("q_vector", "vector") if metric == "l2" else cosine("q_vector", "vector")
     found = pairs.select("q_id", "id", value.alias("distance"))
     first = F.col("distance").asc() if metric == "l2" else F.col("distance").desc()
     return ranked(found, k, first, "id").select(F.col("q_id").alias("query_id"), "rank", "id", "distance")
 
 
-def shortlist(n: int, k: int, sidecar: str, routed: bool = False) -> int:
-    """How many candidates the bits pass on."""
-    if sidecar == "none":
-        return min(n, max(50, 3 * k))
-    return min(n, max(300, 30 * k) if routed else max(100, 20 * k))
+def shortlist(n: int | None, k: int, sidecar: str, routed: bool = False) -> int:
+    """How many candidates the bits pass on; ``n`` is the number of rows, where it is known."""
+    most = max(50, 3 * k) if sidecar == "none" else max(300, 30 * k) if routed else max(100, 20 * k)
+    return most if n is None else min(n, most)
 
 
 def asymmetric(dim: int, bits: int = 1) -> Column:
@@ -93,71 +99,75 @@ def asymmetric(dim: int, bits: int = 1) -> Column:
 
 
 def cascade(
-    rows: DataFrame, queries: DataFrame, k: int, width: int, candidates: int, dim: int, bits: int = 1, sidecar: str = "fp8", pairs: DataFrame | None = None
-) -> DataFrame:
+    rows: DataFrame, queries: DataFrame, k: int, width: int, candidates: int, dim: int, bits: int = 1, sidecar: str = "fp8",
+    routed: bool = False, fetch: Callable[[DataFrame], DataFrame] | None = None, n_queries: int | None = None,
+) -> DataFrame:
     """(query_id, rank, id, hamming, distance): the ``candidates`` nearest by bits, reranked.
 
-    ``rows`` are encoded (row_idx, id, words; vec with a sidecar), ``queries`` (id,
+    ``rows`` are encoded (row_idx, words; id, and vec with a sidecar), ``queries`` (id,
     vector, words, z). Deleted rows (``deleted``) take no part. Ties go to the lower
-    Hamming distance, then row. ``pairs`` (q_id, row_idx) limits what meets.
+    Hamming distance, then row. ``routed`` limits what meets to the buckets' rows.
+    ``fetch`` encodes just the rows (row_idx) that it is given, where ``rows`` have
+    the words alone; it gets the candidates, which are broadcast if they are few.
     """
+    n = count_queries(queries) if n_queries is None else n_queries
     live = rows.where(~F.col("deleted")) if "deleted" in rows.columns else rows
-    n_words = -(-width // 64)
-    names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(n_words)]
-    brief = prefixed(queries.select("id", *names))
-    if pairs is None:
-        met = meet(live.select("row_idx", *names), brief)
-    else:
-        met = live.select("row_idx", *names).join(pairs, "row_idx").join(brief, "q_id")
+    names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))]
+    keys = [f"k{c}" for c in range(4)] if routed else []
+    met = meet(live.select("row_idx", *names, *keys), prefixed(queries.select("id", *names, *keys)), n)
+    if routed:
+        met = through_buckets(met, queries, candidates)
     met = met.select("q_id", "row_idx", (hamming(width) if bits == 1 else ternary(width)).alias("hamming"))
     near = ranked(met, candidates, "hamming", "row_idx").drop("rank")
-    whole = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-dim // 64))]
-    full = live.select("row_idx", "id", *(["vec"] if sidecar != "none" else whole))
+    if n * candidates <= MOST_FETCHED:
+        near = F.broadcast(near)
+    whole = ["vec"] if sidecar != "none" else [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-dim // 64))]
+    if fetch is None:
+        final = live.select("row_idx", "id", *whole).join(near, "row_idx")
+    else:
+        final = fetch(near).select("q_id", "row_idx", "hamming", "id", *whole)
     asked = prefixed(queries.select("id", "vector", "z"))
     value = l2_squared("q_vector", "vec") if sidecar != "none" else asymmetric(dim, bits)
-    final = near.join(full, "row_idx").join(asked, "q_id").select("q_id", "id", "row_idx", "hamming", value.alias("distance"))
+    final = final.join(F.broadcast(asked) if n <= MOST_BROADCAST else asked, "q_id").select("q_id", "id", "row_idx", "hamming", value.alias("distance"))
     out = ranked(final.where(~F.isnan("distance")), k, "distance", "hamming", "row_idx")
     return out.select(F.col("q_id").alias("query_id"), "rank", "id", "hamming", "distance")
 
 
-def probe_order() -> list[tuple[int, int, int]]:
-    """(pass, chunk, xor) in probe order: exact, one bit in each chunk, two bits in chunk 0."""
-    out = [(1, c, 0) for c in range(4)] + [(2, c, 1 << b) for c in range(4) for b in range(8)]
-    return out + [(3, 0, (1 << a) | (1 << b)) for a in range(8) for b in range(a + 1, 8)]
+def probe_group() -> Column:
+    """When bucket routing comes by a row: 0 by an equal key, 1 to 4 by a key of that chunk with one other bit, 5 by the first chunk's with two."""
+    other = [F.bit_count(F.col(f"k{c}").cast("int").bitwiseXOR(F.col(f"q_k{c}").cast("int"))) for c in range(4)]
+    group = F.when(reduce(lambda a, b: a | b, [x == 0 for x in other]), 0)
+    for c, x in enumerate(other):
+        group = group.when(x == 1, c + 1)
+    return group.when(other[0] == 2, 5)
 
 
-def bucket_candidates(rows: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
-    """(q_id, row_idx) that bucket routing gathers.
+def through_buckets(met: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
+    """The rows of ``met`` (row_idx, k0 to k3, and the queries' with q_) that bucket routing gathers.
 
     Exact buckets first. Where under 2 * ``candidates`` rows are gathered, one-bit
     neighbours by chunk until there are as many; where still under ``candidates``,
     two-bit neighbours of the first chunk. A query without any takes the first rows.
+
+    A row's group follows from its keys and the query's, so that no postings are
+    dealt out; the groups' sizes (6 for each query) are counted before.
     """
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(n, *p) for n, p in enumerate(probe_order())], "step int, pass int, chunk int, x int")  # 64 rows
-    key = lambda p: F.array(*[F.struct(F.lit(c).alias("chunk"), F.col(f"{p}k{c}").cast("int").alias("key")) for c in range(4)])
-    asked = queries.select(F.col("id").alias("q_id"), F.explode(key("")).alias("k")).select("q_id", "k.chunk", "k.key")
-    probes = asked.join(F.broadcast(table), "chunk").select("q_id", "step", "pass", "chunk", F.col("key").bitwiseXOR(F.col("x")).alias("key"))
-    posted = rows.select("row_idx", F.explode(key("")).alias("k")).select("row_idx", "k.chunk", "k.key")
-    first = posted.join(probes, ["chunk", "key"]).groupBy("q_id", "row_idx").agg(F.min(F.struct("pass", "step", "chunk")).alias("at"))
-    # rows gathered before each stop check
-    groups = F.when(F.col("at.pass") == 1, 0).when(F.col("at.pass") == 2, 1 + F.col("at.chunk")).otherwise(5)
-    counts = first.groupBy("q_id", groups.alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.groupBy("q_id").agg(*[F.coalesce(F.sum(F.when(F.col("g") < g, F.col("n"))), F.lit(0)).alias(f"b{g}") for g in range(1, 6)])
-    keep = reduce(lambda a, b: a | b, [(F.col("g") == g) & (F.col(f"b{g}") < 2 * candidates) for g in range(1, 5)])
-    chosen = first.select("q_id", "row_idx", groups.alias("g")).join(before, "q_id")
-    chosen = chosen.where((F.col("g") == 0) | keep | ((F.col("g") == 5) & (F.col("b5") < candidates))).select("q_id", "row_idx")
-    missing = queries.select(F.col("id").alias("q_id")).join(chosen.select("q_id").distinct(), "q_id", "left_anti")
-    head = rows.select("row_idx").where(F.col("row_idx") < candidates)
-    return chosen.unionByName(meet(head, missing).select("q_id", "row_idx"))
-
-
-def rerank(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    grouped = met.withColumn("g", probe_group())
+    counts = grouped.where("g IS NOT NULL").groupBy("q_id").pivot("g", list(range(6))).agg(F.count(F.lit(1)))
+    n = [F.coalesce(F.col(str(g)), F.lit(0)) for g in range(6)]
+    # the last group that is gathered; -1 if there is nothing in any
+    before = [reduce(add, n[:g], F.lit(0)) for g in range(6)]
+    last = reduce(lambda high, g: F.when(before[g] < 2 * candidates, g).otherwise(high), range(1, 5), F.lit(0))
+    last = F.when(before[5] + n[5] == 0, -1).when(before[5] < candidates, 5).otherwise(last)
+    stops = queries.select(F.col("id").alias("q_id")).join(counts, "q_id", "left").select("q_id", last.alias("last"))
+    kept = grouped.join(stops, "q_id").where((F.col("g") <= F.col("last")) | ((F.col("last") == -1) & (F.col("row_idx") < candidates)))
+    return kept.drop("g", "last")
+
+
+def rerank(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", n_queries: int | None = None) -> DataFrame:
     """(query_id, rank, id, value): cosine, or L2 (not squared) for ``l2`` and ``euclidean``."""
     if metric not in ("cosine", "l2", "euclidean"):
         raise ValueError("metric: cosine, l2 or euclidean")
-    found = knn(rows, queries, k, "cosine" if metric == "cosine" else "l2")
+    found = knn(rows, queries, k, "cosine" if metric == "cosine" else "l2", n_queries)
     value = F.col("distance") if metric == "cosine" else F.sqrt("distance")
     return found.select("query_id", "rank", "id", value.alias("value"))
-
-

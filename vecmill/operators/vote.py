@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.operators.search import cosine, hamming, meet, prefixed
+from vecmill.operators.order import numbered
+from vecmill.operators.search import MOST_BROADCAST, cosine, count_queries, hamming, meet, prefixed
 
 RESONANT = 5
 
 
-def voting_masks(rows: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def voting_masks(rows: DataFrame, queries: DataFrame, width: int, n_queries: int | None = None) -> DataFrame:
     """(row_idx, id, mask, votes) of all rows: bit f is set where a query of family f is within its threshold.
 
-    ``queries`` are encoded with family (0 to 7) and threshold. Deleted rows have mask 0.
+    ``queries`` are encoded with family (0 to 7; others are refused as the query
+    runs) and threshold. Deleted rows have mask 0. A row's mask follows from the row
+    and the queries alone: up to ``MOST_BROADCAST`` queries are sent to the rows as
+    one array and folded, so that no row is dealt out.
     """
-    if queries.where("family NOT BETWEEN 0 AND 7").limit(1).count():
-        raise ValueError("families are 0 to 7")
     words = [f"s{k}" for k in range(-(-width // 64))]
+    sound = F.when(F.col("family").between(0, 7), F.col("family")).otherwise(F.raise_error(F.lit("families are 0 to 7")).cast("int"))
+    asked = prefixed(queries.select(sound.alias("family"), "threshold", *words))
+    bit = F.expr("shiftleft(1, q_family)")
+    if (count_queries(queries) if n_queries is None else n_queries) <= MOST_BROADCAST:
+        folded = asked.agg(F.collect_list(F.struct(*asked.columns)).alias("asked"))
+        vote = lambda q: F.when(hamming(width, right=q) <= q["q_threshold"], F.call_function("shiftleft", F.lit(1), q["q_family"])).otherwise(0)
+        near = F.aggregate("asked", F.lit(0), lambda mask, q: mask.bitwiseOR(vote(q)))
+        mask = F.when(F.col("deleted"), 0).otherwise(near) if "deleted" in rows.columns else near
+        return rows.crossJoin(F.broadcast(folded)).select("row_idx", "id", mask.alias("mask")).withColumn("votes", F.bit_count("mask"))
     live = rows.where(~F.col("deleted")) if "deleted" in rows.columns else rows
-    met = meet(live.select("row_idx", *words), prefixed(queries.select("family", "threshold", *words)))
-    hit = met.where(hamming(width) <= F.col("q_threshold")).groupBy("row_idx").agg(F.bit_or(F.expr("shiftleft(1, q_family)")).alias("mask"))
+    met = live.select("row_idx", *words).crossJoin(asked)
+    hit = met.where(hamming(width) <= F.col("q_threshold")).groupBy("row_idx").agg(F.bit_or(bit).alias("mask"))
     mask = F.coalesce("mask", F.lit(0))
     return rows.select("row_idx", "id").join(hit, "row_idx", "left").select("row_idx", "id", mask.alias("mask"), F.bit_count(mask).alias("votes"))
 
@@ -29,8 +40,10 @@ def resonant_count(masks: DataFrame, least: int = RESONANT) -> DataFrame:
     return masks.agg(F.count(F.when(F.col("votes") >= least, 1)).alias("resonant_count"))
 
 
-def grid_rerank(masks: DataFrame, rows: DataFrame, queries: DataFrame, min_votes: int = RESONANT) -> DataFrame:
-    """(row_idx, id, votes, mask, score): rows with the votes, by their highest cosine to any query."""
+def grid_rerank(masks: DataFrame, rows: DataFrame, queries: DataFrame, min_votes: int = RESONANT, n_queries: int | None = None) -> DataFrame:
+    """(rank, row_idx, id, votes, mask, score): rows with the votes, by their highest cosine to any query, then votes, then row."""
     chosen = masks.where(F.col("votes") >= min_votes).join(rows.select("row_idx", "vec"), "row_idx")
-    met = meet(chosen, prefixed(queries.select("vector")))
-    return met.groupBy("row_idx", "id", "votes", "mask").agg(F.max(cosine("q_vector", "vec")).alias("score"))
+    met = meet(chosen, prefixed(queries.select("vector")), n_queries)
+    best = met.groupBy("row_idx", "id", "votes", "mask").agg(F.max(cosine("q_vector", "vec")).alias("score"))
+    placed = numbered(best, -F.col("score"), F.desc("votes"), F.col("row_idx"), name="before")
+    return placed.select((F.col("before") + 1).alias("rank"), "row_idx", "id", "votes", "mask", "score")
