@@ -1,7 +1,11 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``; other columns are left
+out. No rows give no rows. Nulls: a null text is empty, a null id is no document's
+(its rows are judged by their texts, and are duplicates of nothing); nulls elsewhere
+pass through. Rows of one id are one document: they stay or go together as near
+duplicates, and are judged one by one elsewhere.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: none with an empty text, as it has too few words."""
     return quality_verdicts(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -30,14 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """The document of smallest id of each group of near duplicates; empty texts are duplicates of nothing."""
     groups = near_duplicates(docs)
     dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(shared_table(dropped, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of source, language and topic."""
+    """Documents sampled to the target weights of source, language and topic; those without words go."""
     return sample_mix(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
