@@ -1,22 +1,26 @@
 """Sharding: indivisible groups of rows go to shards of near equal size.
 
 Method: best-fit decreasing. Groups sorted by size enter the bin with the
-tightest remaining capacity that holds them, found in a sorted (balanced)
-structure; the capacity is the smallest with which the bins suffice.
+tightest remaining capacity that holds them, found in a balanced search tree; the
+capacity is the smallest with which the bins suffice.
+
+Groups of one size are placed together: best fit fills the tightest bin with them,
+then the next, just as if they came one by one. So the driver holds the sizes and
+their counts, whatever the number of groups: under sqrt(2 * all bytes) sizes can
+differ (250,000 for 30 GB, 14 million for 100 TB, if every size occurred). Each
+group's place among those of its size, counted in Spark, then gives its bin.
 """
 
 from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecmill.llm.common import cut, table
 
-#: Groups under 1 / N_ITEMS of all bytes are thrown together by hash, so that the
-#: driver packs at most 2 * N_ITEMS items however many groups there are.
-N_ITEMS = 16_384
 #: Slots are counted in so many slices of each shard.
 N_SLICES = 1024
 
@@ -71,89 +75,101 @@ class BinTree:
         return least[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each size (in decreasing order). Items over the capacity get a bin of their own.
+def best_fit_classes(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, count, bin) in order of placement, for ``classes`` (size, count) in decreasing order of size.
 
-    With ``most``, None where more bins would be needed.
+    Items over the capacity get a bin of their own. With ``most``, None where more
+    bins would be needed.
     """
     tree, opened, out = BinTree(), 0, []
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            if most is not None and opened == most:
-                return None
-            found = (max(capacity, size), opened)
-            opened += 1
-        room, number = found
-        tree.put(room - size, number)
-        out.append(number)
+    for size, count in classes:
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                if most is not None and opened == most:
+                    return None
+                found = (max(capacity, size), opened)
+                opened += 1
+            room, number = found
+            # with less room, it stays the tightest until no other of this size fits
+            n = min(count, room // size)
+            tree.put(room - n * size, number)
+            out.append((size, n, number))
+            count -= n
     return out
 
 
-def near_equal(sizes: list[int], bins: int) -> list[int]:
+def near_equal(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """Best-fit decreasing with the smallest capacity (found by bisection) that needs ``bins`` bins at most.
 
-    ``sizes`` are in decreasing order.
+    An item over a fair share of what is left gets a bin alone first, so that the
+    other bins' capacity doesn't follow from it. ``classes`` (size, count) are in
+    decreasing order of size.
     """
-    if not sizes:
-        return []
-    low, high = max(sizes[0], -(-sum(sizes) // bins)), max(sizes[0], 2 * -(-sum(sizes) // bins))
-    best = best_fit_decreasing(sizes, high, bins)
+    alone, rest = [], list(classes)
+    total, left = sum(s * c for s, c in rest), bins
+    while rest and left > 1 and rest[0][0] * left > total:
+        size, count = rest[0]
+        alone.append((size, 1, len(alone)))
+        rest[:1] = [(size, count - 1)] if count > 1 else []
+        total, left = total - size, left - 1
+    if not rest:
+        return alone
+    low = high = max(rest[0][0], -(-total // left))
+    best, step = best_fit_classes(rest, high, left), max(1, high // 1024)
     while best is None:
-        high *= 2
-        best = best_fit_decreasing(sizes, high, bins)
+        low, high, step = high + 1, high + step, 2 * step
+        best = best_fit_classes(rest, high, left)
     while low < high:
         mid = (low + high) // 2
-        got = best_fit_decreasing(sizes, mid, bins)
+        got = best_fit_classes(rest, mid, left)
         if got is None:
             low = mid + 1
         else:
             best, high = got, mid
-    return best
+    return alone + [(size, n, len(alone) + number) for size, n, number in best]
 
 
-def shard_groups(rows: DataFrame, shards: int | None = None, n_items: int = N_ITEMS, capacity: int | None = None) -> DataFrame:
+def _plan(spark: SparkSession, placed: list[tuple[int, int, int]]) -> DataFrame:
+    """(bytes, ends, shards): of the groups of a size, those below the first end (by their place) are in the first shard, and so on."""
+    rows: dict[int, tuple[list[int], list[int]]] = {}
+    for size, n, number in placed:
+        ends, shards = rows.setdefault(size, ([], []))
+        ends.append((ends[-1] if ends else 0) + n)
+        shards.append(number)
+    found = pd.DataFrame({"bytes": list(rows), "ends": [e for e, _ in rows.values()], "shards": [b for _, b in rows.values()]})
+    return spark.createDataFrame(found, "bytes long, ends array<long>, shards array<int>")
+
+
+def shard_groups(rows: DataFrame, shards: int | None = None, capacity: int | None = None, slices: int = 64) -> DataFrame:
     """``rows`` (with long columns g1, g2: the group's identity; size: at least 1) with int ``shard``.
 
     With ``shards``, that many of near equal size: a group that is larger than a
-    fair share fills a shard alone. With ``capacity``, as few shards of at most so
-    many bytes as best-fit decreasing finds: a group that is larger fills a shard
-    alone. A group never spans shards. Groups under 1 / ``n_items`` of all bytes
-    are packed as lumps, by hash; where a lump of several groups is over the
-    capacity, a ValueError asks for more items.
+    fair share fills a shard alone, and the others share the rest. With ``capacity``,
+    as few shards of at most so many bytes as best-fit decreasing finds: a group that
+    is larger fills a shard alone. A group never spans shards.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("either shards or a capacity is needed")
     if capacity is not None and capacity < 1:
         raise ValueError("a capacity is positive")
-    spark = rows.sparkSession
     groups = cut(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * n_items >= total
-    spread = F.pmod(F.xxhash64("g2", "g1"), F.lit(n_items))
-    items = (
-        groups.select(F.when(large, F.col("g1")).alias("i1"), F.when(large, F.col("g2")).otherwise(spread).alias("i2"), "bytes")
-        .groupBy("i1", "i2")
-        .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        .collect()  # n_items large groups and n_items slots for the others, at most
-    )
-    items.sort(key=lambda r: (-r.bytes, r.i1 is None, r.i1 or 0, r.i2))
-    if capacity is not None and any(r.n > 1 and r.bytes > capacity for r in items):
-        raise ValueError(f"a lump of small groups is over the capacity of {capacity}: n_items over {n_items} are needed")
-    sizes = [r.bytes for r in items]
-    placed = near_equal(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
-    alone = [(r.i1, r.i2, b) for r, b in zip(items, placed) if r.i1 is not None]
-    joint = [(r.i2, b) for r, b in zip(items, placed) if r.i1 is None]
-    # of proven size: n_items rows at most each
-    alone_df = F.broadcast(spark.createDataFrame(alone, "g1 long, g2 long, own_shard int"))
-    joint_df = F.broadcast(spark.createDataFrame(joint, "slot_key long, joint_shard int"))
-    return (
-        rows.withColumn("slot_key", spread)
-        .join(alone_df, ["g1", "g2"], "left")
-        .join(joint_df, "slot_key", "left")
-        .withColumn("shard", F.coalesce("own_shard", "joint_shard"))
-        .drop("slot_key", "own_shard", "joint_shard")
-    )
+    counted = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row for each size that occurs
+    classes = sorted(zip(counted["bytes"].tolist(), counted["n"].tolist()), reverse=True)
+    placed = near_equal(classes, shards) if capacity is None else best_fit_classes(classes, capacity)
+    planned = groups.join(_plan(rows.sparkSession, placed), "bytes")
+    # most sizes are in one shard as a whole; of the others, places are counted within slices
+    whole = planned.where(F.size("shards") == 1).select("g1", "g2", F.col("shards")[0].alias("shard"))
+    split = planned.where(F.size("shards") > 1).withColumn("slice", F.pmod(F.xxhash64("g2", "g1"), F.lit(slices)))
+    counts = split.groupBy("bytes", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bytes").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("bytes", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    nth = F.row_number().over(Window.partitionBy("bytes", "slice").orderBy("g1", "g2")) - 1
+    numbered = split.withColumn("nth", nth).join(shifts, ["bytes", "slice"]).withColumn("place", F.col("nth") + F.col("shift"))
+    at = F.size(F.filter("ends", lambda end: end <= F.col("place")))
+    dealt = cut(whole.unionByName(numbered.select("g1", "g2", F.get("shards", at).alias("shard"))))
+    # plain scans on both sides: a group that a third of all rows form is split as the join runs
+    return rows.join(dealt, ["g1", "g2"])
 
 
 def number_slots(rows: DataFrame, order: list[str], slices: int = N_SLICES) -> DataFrame:
