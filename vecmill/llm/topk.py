@@ -3,19 +3,23 @@
 Method: multi-resolution segment statistics. A vector is cut into segments, of
 which means and deviations are kept, at several resolutions. By Cauchy-Schwarz,
 on a segment of length l, <q, x> is at most l * (mean_q * mean_x + dev_q * dev_x),
-so the distance has a lower bound. Blocks of rows pass the bounds coarse to fine;
-the survivors get exact scores.
+so the distance has a lower bound. Blocks of rows pass the bounds coarse to fine: a
+block as a whole by the ranges of its statistics, then its rows; the survivors get
+exact scores.
 
 The queries meet all rows in blocks: rows are dealt to cells, each block of
-queries is sent to every cell.
+queries is sent to every cell. There it meets one block of rows after the other,
+and what it has found so far is the bound for the next.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,10 @@ LEVELS = (4, 16)
 ROW_BLOCK = 2048
 QUERY_BLOCK = 256
 ROWS_PER_CELL = 16_384
+#: Blocks of rows whose statistics a task keeps (some 3 MB each, at 64 dimensions); a cell has ROWS_PER_CELL / ROW_BLOCK on average.
+KEPT_BLOCKS = 12
+#: Queries whose bounds with a block are held at once.
+TOGETHER = 32
 
 _BLOCK = "block long, dim int, ids binary, vectors binary"
 
@@ -50,7 +58,8 @@ def _blocks(size: int):
     def pack(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         vectors = np.array([r[1] for r in rows], dtype=np.int64)
-        block = int(ids.min()) ^ (int(ids.max()) << 20) & ((1 << 62) - 1)
+        # by content: blocks of one number are equal
+        block = xxhash.xxh3_64_intdigest(ids.tobytes() + vectors.tobytes()) >> 1
         return pa.RecordBatch.from_pydict({
             "block": pa.array([block], pa.int64()), "dim": pa.array([vectors.shape[1] if vectors.ndim > 1 else 0], pa.int32()),
             "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary()),
@@ -81,56 +90,105 @@ def _segments(v: np.ndarray, parts: int) -> np.ndarray:
 
 
 class BlockIndex:
-    """A block of rows with their segment statistics."""
+    """A block of rows with their segment statistics, and the ranges of the coarsest."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: tuple[int, ...] = LEVELS):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.exact = vectors[order]
-        self.levels = levels
-        self.stats = [_segments(self.vectors, n) for n in levels]
-
-    def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, id, score) of at least each query's k best rows, its own apart; exact to the last tie."""
-        out, wide = [], queries.astype(np.float64)
-        stats = [_segments(wide, n) for n in self.levels]
-        coarse = stats[0] @ self.stats[0].T
-        for n, qid in enumerate(qids):
-            others = self.ids != qid
-            bound = np.where(others, coarse[n], -np.inf)
-            first = min(len(bound), 4 * k)
-            probe = np.argpartition(-bound, first - 1)[:first]
-            probe = probe[others[probe]]
-            if not len(probe):
-                continue
-            scores = self.exact[probe] @ queries[n]
-            least = np.sort(scores)[-k] if len(scores) >= k else np.iinfo(np.int64).min
-            left = np.flatnonzero(bound >= least - 1e-6 * abs(least) - 1e-3)
-            for q, x in zip(stats[1:], self.stats[1:]):
-                left = left[x[left] @ q[n] >= least - 1e-6 * abs(least) - 1e-3]
-            scores = self.exact[left] @ queries[n]
-            best = np.lexsort((self.ids[left], -scores))[:k]
-            out += [(int(qid), int(self.ids[left[b]]), int(scores[b])) for b in best]
-        return out
+        self.ids, self.exact = ids, vectors
+        self.stats = [_segments(vectors.astype(np.float64), n) for n in levels]
+        self.low, self.high = self.stats[0].min(axis=0), self.stats[0].max(axis=0)
+        self.largest = int(np.abs(vectors).max(initial=0))
+
+
+_NONE = np.iinfo(np.int64).min
+
+
+class Asked:
+    """A block of queries and the best rows found for each so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
+        self.ids, self.exact, self.k = ids, vectors, k
+        self.stats = [_segments(vectors.astype(np.float64), n) for n in levels]
+        self.largest = int(np.abs(vectors).max(initial=0))
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), best first
+        self.least = np.full(len(ids), _NONE)
+
+    def _floor(self, which: np.ndarray) -> np.ndarray:
+        """What a bound must reach, with room for rounding."""
+        least = self.least[which].astype(np.float64)
+        return np.where(self.least[which] == _NONE, -np.inf, least - 1e-6 * np.abs(least) - 1e-3)
+
+    def _take(self, n: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        best = sorted([*self.found[n], *zip((-scores).tolist(), ids.tolist())])[: self.k]
+        self.found[n] = best
+        if len(best) == self.k:
+            self.least[n] = -best[-1][0]
+
+    def meet(self, block: BlockIndex) -> int:
+        """Takes the block's rows into account; how many got exact scores."""
+        if self.largest * block.largest * max(1, self.exact.shape[1]) >= 1 << 62:
+            raise ValueError("scores are over 64 bits")
+        scored, coarse = 0, self.stats[0]
+        reach = np.maximum(coarse * block.high, coarse * block.low).sum(axis=1)
+        live = np.flatnonzero(reach >= self._floor(np.arange(len(self.ids))))
+        for at in range(0, len(live), TOGETHER):
+            which = live[at : at + TOGETHER]
+            bound = coarse[which] @ block.stats[0].T
+            bound[self.ids[which][:, None] == block.ids[None, :]] = -np.inf
+            for row, n in enumerate(which):
+                if self.least[n] == _NONE:  # the likeliest rows come first; all others then have a bound to pass
+                    most = min(len(block.ids), 4 * self.k)
+                    probe = np.argpartition(-bound[row], most - 1)[:most]
+                    probe = probe[bound[row][probe] > -np.inf]
+                    self._take(n, block.exact[probe] @ self.exact[n], block.ids[probe])
+                    bound[row][probe] = -np.inf
+                    scored += len(probe)
+            floor = self._floor(which)
+            q, x = np.nonzero((bound >= floor[:, None]) & (bound > -np.inf))
+            for fine_q, fine_x in zip(self.stats[1:], block.stats[1:]):
+                keep = np.einsum("ij,ij->i", fine_q[which[q]], fine_x[x]) >= floor[q]
+                q, x = q[keep], x[keep]
+            scores = np.einsum("ij,ij->i", self.exact[which[q]], block.exact[x])
+            scored += len(scores)
+            better = scores >= self.least[which[q]]
+            q, x, scores = q[better], x[better], scores[better]
+            starts = np.searchsorted(q, np.arange(len(which) + 1))
+            for row, n in enumerate(which):
+                a, b = starts[row], starts[row + 1]
+                if a < b:
+                    self._take(n, scores[a:b], block.ids[x[a:b]])
+        return scored
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(int(i), x, -s) for i, best in zip(self.ids, self.found) for s, x in best]
 
 
 def _search(k: int, levels: tuple[int, ...]):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        asked, mark, blocks = None, None, OrderedDict()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if asked is not None and (rows := asked.rows()):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name: np.frombuffer(batch.column(name)[r].as_buffer(), dtype=np.int64)  # noqa: B023, E731
-                dim = batch.column("dim")[r].as_py()
-                mark = (batch.column("block")[r].as_py(), dim)
-                if mark != last:
-                    ids = get("ids")
-                    last, index = mark, BlockIndex(ids, get("vectors").reshape(len(ids), dim), levels)
-                qids = get("q_ids")
-                found = index.search(qids, get("q_vectors").reshape(len(qids), dim), k)
-                columns = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                dim, number = batch.column("dim")[r].as_py(), batch.column("q_block")[r].as_py()
+                if (number, dim) != mark:
+                    yield from done()
+                    qids = get("q_ids").copy()
+                    asked, mark = Asked(qids, get("q_vectors").reshape(len(qids), dim).copy(), k, levels), (number, dim)
+                key = (batch.column("block")[r].as_py(), dim)
+                if key not in blocks:
+                    ids = get("ids").copy()
+                    blocks[key] = BlockIndex(ids, get("vectors").reshape(len(ids), dim).copy(), levels)
+                    if len(blocks) > KEPT_BLOCKS:
+                        blocks.popitem(last=False)
+                blocks.move_to_end(key)
+                asked.meet(blocks[key])
+        yield from done()
 
     return run
 
@@ -141,16 +199,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, levels: tuple[int, ..
     ``rows`` and ``queries`` are (id, v) with integer vectors; a query's own row
     is no candidate. Vectors of another length than the query's are none either.
     Where there are fewer rows, all are returned. Repeated ids are rows like any
-    other, and a repeated query counts once. No rows give no rows.
+    other (those of the query's id are its own); of a repeated query the smallest
+    vector asks. Scores that could be over 64 bits raise ValueError. No rows give no
+    rows.
     """
     n = rows.count()
     cells = max(1, -(-n // ROWS_PER_CELL))
     dealt = rows.repartition(cells, F.xxhash64("id")).mapInArrow(_blocks(ROW_BLOCK), _BLOCK)
     row_blocks = cut(dealt.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells))))
-    asked = queries.dropDuplicates(["id"])
+    asked = queries.groupBy("id").agg(F.min("v").alias("v"))
     query_blocks = asked.repartition(max(1, cells // 16), F.xxhash64("id")).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK)
     sent = query_blocks.select(
-        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell")
+        "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell")
     )
     met = row_blocks.hint("shuffle_hash").join(sent, ["cell", "dim"])
     found = met.mapInArrow(_search(k, levels), "query_id long, vec_id long, score long")
