@@ -7,7 +7,6 @@ are joined back to all paths that hold the blob.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -44,7 +43,7 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # A run is taken whole, so a bound in the pattern drops just what a later test would.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY-----)")
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 
 
@@ -54,12 +53,29 @@ def _assign(text: str, low: str) -> list[Span]:
     return [m.span() for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
 
 
+def _pem(text: str, low: str) -> list[Span]:
+    """Whole blocks, from BEGIN to the END of the same kind; where there is none, the BEGIN line."""
+    if "-----BEGIN" not in text:
+        return []
+    out, at, open_kinds = [], 0, set()
+    while m := _PEM.search(text, at):
+        # a kind without an END from here on has none further on either
+        end = -1 if m[1] in open_kinds else text.find(f"-----END {m[1]}", m.end())
+        if end < 0:
+            open_kinds.add(m[1])
+            at = m.end()
+        else:
+            at = end + len("-----END ") + len(m[1])
+        out.append((m.start(), at))
+    return out
+
+
 #: In the order in which spans of one start are listed.
 RULES = (
     Rule("assign", 1, _assign),
     Rule("access", 1, lambda t, low: [m.span() for m in _ACCESS.finditer(t)]),
     Rule("hex", 1, lambda t, low: [m.span() for m in _HEX.finditer(t)]),
-    Rule("pem", 1, lambda t, low: [m.span() for m in _PEM.finditer(t)] if "-----BEGIN" in t else []),
+    Rule("pem", 2, _pem),
     Rule("signed", 1, lambda t, low: [m.span() for m in _SIGNED.finditer(t)] if "eyJ" in t else []),
 )
 BASE = ("assign", "access", "hex")
@@ -88,25 +104,27 @@ def _scan(rules: tuple[Rule, ...]):
     return run
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def new_ledger(spark: SparkSession) -> DataFrame:
+    """A ledger of nothing."""
+    return spark.createDataFrame([], LEDGER)
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows to append to the ledger: one for each blob of ``versions`` with unscanned rules.
 
     ``versions`` has ``blob`` and ``text``; a blob counts once, however many rows hold it.
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
-    blobs = versions.select("blob", "text")
-    if ledger is None:
-        todo = blobs.dropDuplicates(["blob"]).withColumn("pending", keys)
-    else:
-        done = cut(ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done")))
-        todo = (
-            blobs.join(done, "blob", "left")
-            .withColumn("pending", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>"))))
-            .where(F.size("pending") > 0)
-            .select("blob", "text", "pending")
-            .dropDuplicates(["blob"])
-        )
-    return todo.select("blob", "text", "pending").mapInArrow(_scan(rules), LEDGER)
+    done = cut(ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done")))
+    todo = (
+        versions.select("blob", "text")
+        .join(done, "blob", "left")
+        .withColumn("pending", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>"))))
+        .where(F.size("pending") > 0)
+        .select("blob", "text", "pending")
+        .dropDuplicates(["blob"])
+    )
+    return todo.mapInArrow(_scan(rules), LEDGER)
 
 
 def with_blobs(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,12 +159,16 @@ def digest(findings, kinds: tuple[str, ...]):
 def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The findings for each row of ``docs`` (doc_id, text), and the ledger after the scan.
 
+    Each row is a path at one version: pass all versions' rows, or those since the
+    ``ledger`` was written, which then spares what it has. Without one, all is new.
+
     Nulls: a null text is empty, a null id stays. Repeated rows each get their
     findings. Other columns are not read. No rows give no rows.
     """
+    ledger = new_ledger(docs.sparkSession) if ledger is None else ledger
     versions = with_blobs(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     added = shared_table(scan_unseen(versions, ledger, rules), "blob-ledger")
-    after = added if ledger is None else ledger.unionByName(added)
+    after = ledger.unionByName(added)
     return findings_by_path(versions.select("doc_id", "blob"), after, rules), after
 
 
@@ -169,10 +191,5 @@ def scan_text(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[s
     return [(kind, a, b) for a, _, b, kind in sorted(found)]
 
 
-def base_digest(text: str | None) -> str:
-    spans = [f"{k}:{a}:{b}" for k, a, b in scan_text(text) if k in BASE]
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
-
-
 QUERIES = {"op2_secret_scan": op2_secret_scan}
 ORACLES: dict[str, str] = {}
