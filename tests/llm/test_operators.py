@@ -92,6 +92,14 @@ def test_ledger_scans_only_what_is_unseen(spark, odd, none):
     assert again.count() == ledger.count() and {tuple(r.rules) for r in again.collect()} == {("assign@2",)}
 
 
+def test_private_keys_are_found_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    text = f"a {key} b -----BEGIN PRIVATE KEY-----\n c -----BEGIN PRIVATE KEY----- {key}"
+    starts = [m.start() for m in re.finditer("-----BEGIN", text)]
+    want = [("pem", starts[0], starts[0] + len(key)), ("pem", starts[1], starts[1] + 27), ("pem", starts[2], starts[2] + 27), ("pem", starts[3], len(text))]
+    assert secret_scan.scan_text(text) == want
+
+
 def test_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(30):
@@ -104,11 +112,16 @@ def test_best_fit_decreasing():
                 bins.append(100)
             bins[n] -= s
             want.append(n)
-        assert sharding.best_fit_decreasing(sizes, 100) == want
-        load = Counter()
-        for s, b in zip(sizes, sharding.near_equal(sizes, 8)):
-            load[b] += s
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        assert [b for _, n, b in sharding.best_fit_classes(classes, 100) for _ in range(n)] == want
+        load, placed = Counter(), sharding.near_equal(classes, 8)
+        for s, n, b in placed:
+            load[b] += s * n
         assert len(load) <= 8 and max(load.values()) <= sum(sizes) / 8 + sizes[0]
+        back = Counter()
+        for s, n, _ in placed:
+            back[s] += n
+        assert back == Counter(sizes)
 
 
 def test_shards(spark, documents, odd, none):
@@ -127,6 +140,64 @@ def test_shards(spark, documents, odd, none):
     assert sharding.shard_documents(odd).count() == len(ODD) and sharding.shard_documents(none).count() == 0
 
 
+def test_shards_beside_a_group_of_a_third_of_all_bytes(spark):
+    rows = [(0, "x" * 100_000)] * 30 + [(n + 1, f"{n} " + "y" * (50 + n % 2500)) for n in range(5000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    large = {r.shard for r in got if r.doc_id == 0}
+    assert len(large) == 1 and load[large.pop()] == 30 * 100_001 and len(load) == 8
+    others = [b for b in load.values() if b != 30 * 100_001]
+    assert len(others) == 7 and max(others) - min(others) < 0.001 * max(others)
+    few = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.size) for r in few) == [(1, 2), (2, 2), (3, 1)]
+    assert len({r.shard for r in few}) == 2 and sorted(r.slot for r in few if r.size == 2) == [0, 1]
+
+
+def plain_top(rows, queries, k):
+    out = {}
+    for qid in sorted({q for q, _ in queries}):
+        q = min(v for i, v in queries if i == qid)
+        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in rows if i != qid and len(v) == len(q))[:k]
+        out[qid] = [(i, -s) for s, i in best]
+    return {q: best for q, best in out.items() if best}
+
+
+def test_top_k_of_ties_and_repeated_ids(spark):
+    rng = random.Random(9)
+    vector = lambda top: [rng.randint(-top, top) for _ in range(8)]
+    cases = [
+        [(rng.randint(0, 30), vector(2)) for _ in range(400)],  # ties, and ids with several vectors
+        [(7, vector(9)) for _ in range(3000)] + [(n, vector(9)) for n in (0, 50)],  # blocks of one id
+        [(n << 21, vector(300)) for n in range(100)] + [(5, [1, 2]), (0, [3, 4])],
+    ]
+    for rows in cases:
+        frame = spark.createDataFrame([(*r, "z", 0) for r in rows], "id long, v array<long>, block string, rank int").select("id", "v")
+        queries = [r for r in rows if r[0] % 50 == 0 or r[0] == 7]
+        got = {}
+        for r in sorted(topk.top_k(frame, spark.createDataFrame(queries, frame.schema), 5).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == plain_top(rows, queries, 5)
+    huge = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40])], "id long, v array<long>")
+    with pytest.raises(Exception, match="over 64 bits"):
+        topk.top_k(huge, huge, 5).collect()
+
+
+def test_bounds_spare_rows():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-100, 100, (8, 32)) * 4
+    block = lambda c: topk.BlockIndex(np.arange(2048) + 2048 * c + 9, (centres[c] + rng.integers(-9, 9, (2048, 32))).astype(np.int64))
+    blocks = [block(c) for c in range(8)]
+    asked = topk.Asked(np.arange(4), (centres[:4] + rng.integers(-9, 9, (4, 32))).astype(np.int64), 5)
+    scored = sum(asked.meet(b) for b in blocks)
+    every = {int(i): x for b in blocks for i, x in zip(b.ids, b.exact)}
+    for n, qid in enumerate(asked.ids):
+        want = sorted((-int(asked.exact[n] @ x), i) for i, x in every.items())[:5]
+        assert asked.found[n] == want
+    assert scored < 0.5 * 4 * 8 * 2048
+
+
 def test_warc(spark):
     schema = "page_id long, url string, html string, payload string"
     long = "x" * 200
@@ -322,6 +393,20 @@ def test_pipeline(spark):
     assert packed.count() > 0 and packed.join(kept, "doc_id", "left_anti").count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    import corpus_pipeline
+
+    columns = list(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, DATA).count() == 0
+        assert stage(spark, odd, DATA).columns == columns, name
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, odd, DATA).collect()}
+    assert 7 in kept and not {1, 2, 3, 6} & kept
+    near = sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, odd, DATA).collect())
+    assert near == sorted(["1", "2", "3", "4", "5", "5", "None", "6", "7"])  # 8 is a near copy of 7; rows of one id stay together
+    assert corpus_pipeline.packing(spark, none, DATA).count() == 0 and corpus_pipeline.packing(spark, odd, DATA).count() >= len(ODD)
+
+
 def test_near_duplicates_of_edited_copies(spark):
     """Copies of copies, with deletions, replacements and repeats: many of them near 0.75 of each other."""
     rng = np.random.default_rng(5)
@@ -385,6 +470,64 @@ def test_distrust_whatever_the_number_of_blocked_hosts(spark):
     assert got["both.com"].trust > got["both.com"].distrust > 0 and got["four.com"].distrust == 0
 
 
+def test_propagation_is_the_plain_series(spark):
+    rng = np.random.default_rng(12)
+    n, links = 40, {}
+    for _ in range(140):
+        a, b = (int(x) for x in rng.integers(0, n, 2))
+        if a != b and a % 7:  # hosts 0, 7, .. have no links: their mass ends there
+            links[a, b] = int(rng.integers(1, 4))
+    share = np.zeros((n, n))
+    for (a, b), w in links.items():
+        share[b, a] = w / sum(x for (c, _), x in links.items() if c == a)
+    seeds = {3: 5.0, 8: 1.0, 21: 2.0}
+    want = 0.15 * np.linalg.solve(np.eye(n) - 0.85 * share, np.array([seeds.get(i, 0.0) for i in range(n)]))
+    frame = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in links.items()], "src string, dst string, weight long")
+    start = spark.createDataFrame([(f"h{i}", m) for i, m in seeds.items()], "host string, mass double")
+    got = {r.host: r.score for r in url_filter.propagate(frame, start).collect()}
+    assert set(got) == {f"h{i}" for i in range(n) if want[i] > 1e-9}
+    assert all(abs(got[f"h{i}"] - want[i]) < 1e-5 for i in range(n) if f"h{i}" in got)
+
+
+def test_urls_that_are_odd(spark):
+    schema = "page_id long, url string, html string, host string, rule string, verdict int"
+    long = "http://plain.com/" + "x" * 200_000
+    rows = [(1, "HTTP://A.NET", None), (1, "HTTP://A.NET", None), (None, None, None), (2, long, "<a href='http://b.net/'>" * 20_000), (3, "", ""), (4, "://", "")]
+    got = url_filter.judge_pages(spark.createDataFrame([(*r, "h", "r", 1) for r in rows], schema)).collect()
+    assert sorted((str(r.page_id), r.host, str(r.rule), r.verdict) for r in got) == sorted(
+        [("1", "a.net", "None", "allow"), ("1", "a.net", "None", "allow"), ("None", "", "None", "allow"), ("2", "plain.com", "None", "block"), ("3", "", "None", "allow"), ("4", "", "None", "allow")]
+    )
+
+
+def test_mixing_of_the_query(spark, documents):
+    """Tokens, topics and draws by plain Python; factors and probabilities by their marginals."""
+    rows = {r.doc_id: r for r in mixing.op9_mixing(spark, DATA).collect()}
+    assert len(rows) == len(documents)
+    for doc_id, text in documents:
+        r, text = rows[doc_id], text or ""
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        per = lambda c: 100 * len(re.findall(c, text))  # noqa: B023, E731
+        topic = "table" if per(r"\|") > 10 * len(words) else "list" if per("\n") > 10 * len(words) else "numeric" if per("[0-9]") > 20 * len(words) else "prose"
+        assert (r.n_tokens, r.topic) == (len(words), topic)
+    cells = {}
+    for r in rows.values():
+        cells.setdefault((r.source, r.lang, r.topic), []).append(r)
+    assert all(len({(round(r.weight, 12), round(r.probability, 12)) for r in c}) <= 2 for c in cells.values())  # 0 without tokens
+    total = sum(r.n_tokens for r in rows.values())
+    assert abs(sum(r.n_tokens * r.probability for r in rows.values()) / total - mixing.KEPT_SHARE) < 1e-3
+    for margin in mixing.MARGINS:
+        sums, kept, raked = Counter(), Counter(), Counter()
+        for r in rows.values():
+            sums[r[margin]] += r.n_tokens
+            kept[r[margin]] += r.n_tokens * r.probability
+            raked[r[margin]] += r.n_tokens * r.weight
+        goal = {v: t**mixing.FLATTEN for v, t in sums.items() if t}
+        for v, g in goal.items():
+            want = g / sum(goal.values())
+            assert abs(raked[v] - want) < 1e-3
+            assert kept[v] / sums[v] > 0.999 or abs(kept[v] / (mixing.KEPT_SHARE * total) - want) < 0.05
+
+
 def test_distrust_of_hosts_without_pages(spark):
     rows = [
         ("http://bad.com/", '<a href="http://spam.net/">'), ("http://bare.com/", '<a href="https://SPAM.net">'), ("http://relative.com/", "<a href=//other.net/x?y>"),
@@ -418,11 +561,7 @@ def test_shards_of_a_capacity(spark):
     assert len(rows) == frame.count() and [n for n in of if of[n] == of[60]] == [60]
     assert all(b <= 100 for s, b in load.items() if s != of[60])
     sizes = sorted((sum(g) for g in groups.values()), reverse=True)
-    assert len(load) == max(sharding.best_fit_decreasing(sizes, 100)) + 1 <= 1.25 * sum(sizes) / 100 + 1
-    lumps = Counter()
-    for r in sharding.shard_groups(frame, capacity=600, n_items=20).collect():
-        lumps[r.shard] += r.size
-    assert sum(lumps.values()) == sum(sizes) and max(lumps.values()) <= 600
-    for wrong in ({}, {"shards": 2, "capacity": 9}, {"capacity": 0}, {"capacity": 60, "n_items": 2}):
+    assert len(load) == max(b for *_, b in sharding.best_fit_classes(sorted(Counter(sizes).items(), reverse=True), 100)) + 1 <= 1.25 * sum(sizes) / 100 + 1
+    for wrong in ({}, {"shards": 2, "capacity": 9}, {"capacity": 0}):
         with pytest.raises(ValueError):
             sharding.shard_groups(frame, **wrong)
