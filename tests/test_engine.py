@@ -1,5 +1,7 @@
 import glob
+import json
 import os
+from dataclasses import asdict
 
 import numpy as np
 import pytest
@@ -229,6 +231,16 @@ def test_routing_gathers_as_its_passes_say(spark):
             assert got.get(q, set()) == want  # a row's keys equal its own, so no query is without any
 
 
+@pytest.mark.parametrize("wrong", [{"version": 9}, {"kind": "other"}, {"dim": 128, "tiers": [128]}, {"dim": 0}, {"size": -1}, {"sidecar": "fp4x"}, {"tiers": [70]}, {"quantisation": "float32"}, {"x": 1}])
+def test_damaged_manifests(spark, tmp_path, wrong):
+    _, df = records(spark, 10)
+    index = compile_index(spark, f"{tmp_path}/i", df, sidecar="fp8")
+    told = json.dumps({**asdict(index.manifest), **wrong})
+    spark.createDataFrame([(told,)], "value string").write.mode("overwrite").text(f"{tmp_path}/i/manifest")
+    with pytest.raises(ValueError):
+        load_index(spark, f"{tmp_path}/i")
+
+
 def test_refusals_before_a_job(spark, tmp_path):
     _, df = records(spark)
     index = compile_index(spark, f"{tmp_path}/i", df)

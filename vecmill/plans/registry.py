@@ -133,7 +133,7 @@ def knn_float_mode(spark, sf_dir):
     rows = _coded(_base(spark, sf_dir), with_z=True)
     met = S.meet(rows.select("id", "z"), S.prefixed(_coded(queries, with_z=True).select("id", "z")), n)
     found = S.ranked(met.select("q_id", "id", S.l2_squared("q_z", "z").alias("d")), K, "d", "id")
-    return found.select(F.col("q_id").alias("query_id"), "rank", "id")
+    return found.select(F.col("q_id").alias("query_id"), "rank", "id", S.score(F.col("d"), 1000.0).alias("score"))
 
 
 def _decoded(mode):
@@ -144,6 +144,13 @@ def _decoded(mode):
     return run
 
 
+def fp8_bytes(spark, sf_dir):
+    """The sidecar as it is stored: a byte for each component."""
+    rows = encode(_base(spark, sf_dir), "vector", _rotation(), 1, "fp8", decoded=False)
+    each = rows.select("id", "sidecar", F.explode(F.sequence(F.lit(0), F.lit(DIM - 1))).alias("dim"))
+    return each.select("id", "dim", F.conv(F.hex(F.substring("sidecar", F.col("dim") + 1, F.lit(1))), 16, 10).cast("int").alias("code"))
+
+
 def _fetch(spark, sf_dir, bits, sidecar, tiers):
     """Encodes the candidates alone."""
     kept = ["q_id", "row_idx", "hamming"]
@@ -337,7 +344,7 @@ QUERIES = {
     "encode_1bit": encode_1bit, "encode_2bit": encode_2bit, "rotate_norm": rotate_norm, "p20_threshold": p20_threshold,
     "mih_keys": mih_keys, "mih_histogram": mih_histogram, "mih_postings": mih_postings, "mih_pass1_candidates": mih_pass1_candidates,
     "mih_search": _cascade("fp8", routed=True), "hamming_topk": hamming_topk, "ternary_topk": ternary_topk, "knn_l2": _knn("l2"), "knn_cosine": _knn("cosine"),
-    "knn_float_mode": knn_float_mode, "fp8_codes": _decoded("fp8"), "fp4_codes": _decoded("fp4"), "fp16_codes": _decoded("fp16"),
+    "knn_float_mode": knn_float_mode, "fp8_codes": _decoded("fp8"), "fp8_bytes": fp8_bytes, "fp4_codes": _decoded("fp4"), "fp16_codes": _decoded("fp16"),
     "cascade_fp8": _cascade("fp8"), "cascade_fp4": _cascade("fp4"), "cascade_fp16": _cascade("fp16"), "cascade_none": _cascade("none"),
     "cascade_two_bit": _cascade("none", 2), "cascade_two_tiers": _cascade("fp8", width=32, tiers=[32, 64]),
     "cascade_three_tiers": _cascade("fp8", width=48, tiers=[16, 48, 64]), "search_scores": _cascade("fp8", scored=True),
@@ -432,8 +439,9 @@ ORACLES = {
     "ternary_topk": f"WITH {_E}, {_TERN} " + _TOP.format(cols="id, distance", order="distance, id", src="t"),
     "knn_l2": _TOP.format(cols="id, round(d, 5) AS distance", order="d, id", src=f"({_PAIR.format(d=_D2)})"),
     "knn_cosine": _TOP.format(cols="id, round(d, 5) AS distance", order="d DESC, id", src=f"({_PAIR.format(d=_COS)})"),
-    "knn_float_mode": _TOP.format(cols="id", order="d, id", src=f"({_PAIR.format(d=_D2)})"),
+    "knn_float_mode": _TOP.format(cols="id, CAST(trunc(least(d * 1000, 2147483647)) AS INTEGER) AS score", order="d, id", src=f"({_PAIR.format(d=_D2)})"),
     "fp8_codes": f"WITH {_E}, {_F8} {_CODES}", "fp4_codes": f"WITH {_E}, {_F4} {_CODES}", "fp16_codes": f"WITH {_E}, {_F16} {_CODES}",
+    "fp8_bytes": f"WITH {_E}, {_F8}, g AS (SELECT f.id, f.j, abs(v) AS v, e.x < 0 AS minus FROM f JOIN e ON e.id = f.id AND e.j = f.j) SELECT id, CAST(j AS INTEGER) AS dim, CAST(CASE WHEN v < pow(2, -6) THEN v * 512 ELSE (floor(log2(v)) + 7) * 8 + (v / pow(2, floor(log2(v))) - 1) * 8 END AS INTEGER) + CASE WHEN minus THEN 128 ELSE 0 END AS code FROM g",
     "get_vectors": f"WITH {_E}, {_F8} {_CODES}",
     "get_vectors_listed": f"WITH {_E}, {_F8} SELECT position, row_idx, round(sum(v), 5) AS total FROM f JOIN (VALUES (0::BIGINT, 17::BIGINT), (1, 3), (2, 256), (3, 3)) l(position, row_idx) ON f.id = row_idx GROUP BY position, row_idx",
     "get_vectors_bits": f"WITH {_E} SELECT id, CAST(i AS INTEGER) AS dim, CASE WHEN z >= 0 THEN 0.125 ELSE -0.125 END::DOUBLE AS value FROM z",

@@ -300,7 +300,15 @@ def load_index(spark: SparkSession, path: str, weights: np.ndarray | None = None
         manifest = Manifest(**json.loads(text)).check()
     except (TypeError, json.JSONDecodeError) as e:
         raise ValueError("the manifest is damaged") from e
-    return Index(spark, path, manifest, spark.read.parquet(f"{path}/rows"), weights)
+    rows = spark.read.parquet(f"{path}/rows")
+    words = [f"s{k}" for k in range(-(-manifest.dim // 64))]
+    needed = {"row_idx", "id", "deleted", "meta", *words, *[f"k{c}" for c in range(4)]}
+    needed |= {w.replace("s", "m") for w in words if manifest.quantisation == "two_bit"}
+    needed |= {"z"} if manifest.quantisation == "float32" else set()
+    needed |= {"vec", "sidecar"} if manifest.sidecar != "none" else set()
+    if missing := needed - set(rows.columns):
+        raise ValueError(f"the rows lack what the manifest tells of: {sorted(missing)}")
+    return Index(spark, path, manifest, rows, weights)
 
 
 def attached_table(index: Index) -> DataFrame:
