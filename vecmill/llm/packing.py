@@ -24,6 +24,10 @@ END_ID = 2
 #: Pieces under a sequence's length in a group, on average.
 GROUP_PIECES = 4096
 TOKENIZER = "word_bpe_49k.json"
+#: Stretches and parts of words whose ids a worker keeps (some 250 bytes each; of parts, up to twice as many). An executor
+#: may hold several idle workers, so that these bound what it keeps between tasks to some 20 MB for each.
+MOST_WORDS = 60_000
+MOST_PARTS = 100_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,7 +55,7 @@ class Encoder:
     #: Letters that normalizing leaves single letters; marks but the apostrophe, which can begin a word.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,8})")
 
-    def __init__(self, path: str, most: int = 200_000, most_parts: int = 300_000):
+    def __init__(self, path: str, most: int = MOST_WORDS, most_parts: int = MOST_PARTS):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
@@ -130,6 +134,10 @@ class Encoder:
         known = self._known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    def rest(self) -> None:
+        """What isn't needed between tasks goes; the parts met lately stay."""
+        self._known, self._older = {}, {}
+
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.raw([text])[0], dtype="<u4").tolist()
 
@@ -181,6 +189,7 @@ def _cut_pieces(path: str, length: int, end_id: int, keep_ids: bool):
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        encoder.rest()
 
     return run
 

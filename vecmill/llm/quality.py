@@ -37,7 +37,8 @@ def suffix_repeats(words: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.zeros(n, dtype=np.int64)
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    rounds, width, classes = [rank], 1, int(rank.max()) + 1
+    # a text has under 2^31 words: the ranks of all rounds are kept in 32 bits
+    rounds, width, classes = [rank.astype(np.int32)], 1, int(rank.max()) + 1
     order = None
     while classes < n:
         second = np.full(n, 0, dtype=np.int64)
@@ -51,7 +52,7 @@ def suffix_repeats(words: np.ndarray) -> np.ndarray:
         rank = np.empty(n, dtype=np.int64)
         rank[order] = differs
         classes, width = int(differs[-1]) + 1, width * 2
-        rounds.append(rank)
+        rounds.append(rank.astype(np.int32))
     if order is None:
         return np.zeros(n, dtype=np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
