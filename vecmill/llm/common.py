@@ -22,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), one is set.
+    Where the session names none, one is set if all run on one machine; a cluster's
+    machines don't see each other's folders, so that there it raises ValueError.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = context.getCheckpointDir()
         if not named:
+            if not (context.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
             context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -67,7 +70,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word (bytes), kept for the words met lately; it starts anew when large."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

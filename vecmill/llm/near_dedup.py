@@ -11,8 +11,8 @@ shares both halves. Links are found in rounds. Each joins components, and pairs
 within a component need no test. First each node meets one other: of those that
 share most keys with most nodes, which is the text that edited copies come from.
 These rounds go on while they join many nodes. Then, of all tables that span
-components, every pair is met that spans components, once: in the first half key
-that it shares.
+components, every pair is met that spans components, once: where it shares the first
+half of a key first.
 
 Before sets are read, two exact bounds rule pairs out. A node whose shingles other
 components hold are too few for a link is left out; an intersection can't have
@@ -268,11 +268,6 @@ class _Linker:
         )
         return chosen.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
-    def open_tables(self, tables: DataFrame) -> DataFrame:
-        """(t, low, high): tables' buckets with several components, their smallest set and largest ``most``."""
-        found = tables.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("low"), F.max("most").alias("high"))
-        return found.where("x < y").select("t", "low", "high")
-
     def reaching(self, shared: DataFrame) -> DataFrame:
         """``shared`` with ``most``, the size of the largest set that each node can be linked with; without nodes of none.
 
@@ -295,18 +290,12 @@ class _Linker:
     def meetings(self, shared: DataFrame) -> DataFrame:
         """Each pair (u < v) of nodes that share a table and whose components differ, if bounds leave a link possible.
 
-        Members of a table meet by the first half of its key; of the half keys that a
-        pair shares, in the first alone. There all but the bucket's largest component
-        meet all others.
+        The key of table (i, j) is compared by halves, as copies would share up to m * m
+        tables if these were written out: nodes are dealt by the first half (i), and the
+        join asks for a second (j). Of the first halves that a pair shares, it meets in
+        one alone. There all but the bucket's largest component meet all others.
         """
-        keys = shared.select("node", "comp", "n", "most", F.explode("a").alias("a"), "b")
-        tables = keys.select("node", "comp", "n", "most", "a", F.explode("b").alias("b")).withColumn("t", F.xxhash64("a.key", "b.key"))
-        tables = tables.select("t", "node", "comp", "n", "most", "a.slot", F.col("a.key").alias("half"))
-        buckets = shared_table(self.open_tables(tables), "open-tables")
-        able = shared_table(tables.join(buckets, "t").where("most >= low AND high >= n").drop("low", "high"), "able")
-        left = shared_table(self.open_tables(able).select("t"), "tables-left")
-        places = shared_table(able.join(left, "t").select("half", "slot", "node", "comp").distinct(), "places")
-        drop_tables(buckets, able, left)
+        places = shared.select("node", "comp", F.explode("a").alias("a")).select("node", "comp", "a.slot", F.col("a.key").alias("half"))
         by_comp = places.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
         mains = by_comp.groupBy("half").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
         # by slot: 32 bits of the first half's key, and of the second's; a key that isn't shared is replaced by another
