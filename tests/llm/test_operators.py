@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from vecmill.llm import line_dedup, mixing, near_dedup, packing, quality, secret_scan, sharding, topk, url_filter, warc
-from vecmill.llm.common import WordHashes
+from vecmill.llm.common import WordHashes, cut
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_dropped string, kept int, blob string"
@@ -46,7 +46,7 @@ def test_line_dedup(spark, odd, none):
     assert sorted(map(str, hot.collect())) == sorted(map(str, line_dedup.dedup_lines(odd).collect()))
 
 
-@pytest.mark.parametrize("module", [line_dedup, warc, topk])
+@pytest.mark.parametrize("module", [line_dedup, warc, topk, near_dedup, quality, url_filter])
 def test_sql(spark, module):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -271,6 +271,25 @@ def test_near_duplicates(spark, documents, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(14)
+    texts = [[f"t{rng.randint(0, 10**6)}" for _ in range(100)] for _ in range(4)]
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[rng.randrange(100)] = f"e{rng.randint(0, 10**6)}"
+        return " ".join(words)
+
+    # 1 holds the first two texts, 2 and 3 a near copy of one each; 4 and 5 are of the third, 6 and 7 of the fourth and of both others
+    rows = [(1, edited(texts[0], 0)), (1, edited(texts[1], 0)), (2, edited(texts[0], 1)), (3, edited(texts[1], 1)), (4, edited(texts[2], 0)), (5, edited(texts[2], 1))]
+    rows += [(6, edited(texts[3], 0)), (7, edited(texts[3], 1)), (7, edited(texts[2], 2)), (8, edited([f"r{n}" for n in range(100)], 0))]
+    rows += [(20 + n, edited(texts[n % 2], 2)) for n in range(30)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, **{20 + n: 1 for n in range(30)}}
+
+
 def test_urls(spark):
     urls = [
         (1, "http://a.example.net/en/1", None), (2, "https://X.net/fr?x", None), (3, "http://example.net/", None), (4, "http://example.com/de/1#a", None),
@@ -321,6 +340,9 @@ def test_packing(spark, documents, odd, none):
             at += length
         assert at <= 4096
     assert packing.pack_documents(odd).select("doc_id").count() >= len(ODD) and packing.pack_documents(none).count() == 0
+    same = spark.createDataFrame([(1, "one and the same row")] * 600, "doc_id long, text string")
+    dealt = packing.pack_documents(same, length=64, group_pieces=50).collect()
+    assert len(dealt) == 600 and len({r.sequence_id // (2 << 24) for r in dealt}) == 12  # no group takes them all
     strange = "Don't we'll I'M. <|endoftext|> A.B, x.,y ÀÉ. é İ. ß. ΣΑΣ. a b\tc\r\nd 12,5. 'S"
     assert packing.Encoder(packing.tokenizer_path()).ids(strange) == encoder.encode(strange, add_special_tokens=False).ids
 
@@ -383,14 +405,54 @@ def test_quality(spark, odd, none):
     assert quality.quality_verdicts(none).count() == 0
 
 
-def test_pipeline(spark):
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+    def repeated(width):
+        windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        seen = Counter(windows)
+        return len({j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + width)})
+
+    return len(words) >= 10 and 100 * repeated(5) <= 20 * len(words) and 10 * repeated(8) <= len(words) and not repeated(51)
+
+
+def plain_line_dedup(rows):
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, text in rows:
+        for line in text.split("\n"):
+            holders.setdefault(key(line), set()).add(d)
+    gone = lambda d, line: len(key(line)) >= 10 and min(holders[key(line)]) < d
+    return [(d, "\n".join(line for line in text.split("\n") if not gone(d, line))) for d, text in rows]
+
+
+def test_pipeline_is_that_of_plain_python(spark, documents, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = corpus_pipeline.quality_rules(spark, docs, DATA)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    packed = corpus_pipeline.run(spark, DATA)
-    assert packed.count() > 0 and packed.join(kept, "doc_id", "left_anti").count() == 0
+    rng, documents = random.Random(15), list(documents)
+    for n in range(5):  # near copies on one line each, which line dedup leaves
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for k in range(4):
+            documents.append((10**6 + 10 * n + k, " ".join(words)))
+            words[rng.randrange(120)] = f"n{rng.randint(0, 10**6)}"
+    frame = spark.createDataFrame([(d, t, "en", f"src{d % 3}", len(t or "")) for d, t in documents], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(d, t or "") for d, t in documents if plain_quality(t)]
+    lines = plain_line_dedup(kept)
+    components = plain_components(lines)
+    alone = [(d, t) for d, t in lines if components[d][1] == d]
+    assert len(alone) < len(lines) < len(documents) and kept != lines
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (_, stage), want in zip(corpus_pipeline.STAGES, (kept, lines, alone)):
+        docs = cut(stage(spark, docs, str(tmp_path)))
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(want)
+    mixed = mixing.sample_mix(docs).collect()
+    chosen = {r.doc_id: r.text for r in mixed if r.draw < r.probability}
+    encoder, got = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+    assert got == {d: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for d, t in chosen.items()}
 
 
 def test_pipeline_stages_on_odd_tables(spark, odd, none):
@@ -528,6 +590,27 @@ def test_mixing_of_the_query(spark, documents):
             assert kept[v] / sums[v] > 0.999 or abs(kept[v] / (mixing.KEPT_SHARE * total) - want) < 0.05
 
 
+def test_url_sql_with_links(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng, rows = random.Random(13), []
+    hosts = [f"h{n}.com" for n in range(25)] + [f"s{n}.net" for n in range(4)] + ["a.org", "b.org", "www.example.net", "Example.com"]
+    for n in range(300):
+        links = [rng.choice(["http://", "HTTPS://", "//", "/"]) + rng.choice(hosts) + rng.choice(["", "/", "/en/x", "/de/?y", "#z"]) for _ in range(rng.randint(0, 4))]
+        html = "".join(rng.choice(["<a href='{}'>", '<a HREF = "{}">', "<a href={}>"]).format(x) for x in links)
+        if n % 10 == 0:
+            rows.append((n, f"http://{rng.choice(['a.org', 'b.org'])}/fr/{n}", html))
+            continue
+        rows.append((n, rng.choice(["http://", "https://", ""]) + rng.choice(hosts[:-9] if n % 3 else hosts) + rng.choice(["", "/", "/en/1", "/de/1", "/fr/2?q"]), html if n % 11 else None))
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.execute(url_filter.ORACLES["op6_url_filter"]).fetchall()
+    got = url_filter.op6_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    assert len({(r.rule is None, r.verdict) for r in got}) == 4  # propagation blocks some
+
+
 def test_distrust_of_hosts_without_pages(spark):
     rows = [
         ("http://bad.com/", '<a href="http://spam.net/">'), ("http://bare.com/", '<a href="https://SPAM.net">'), ("http://relative.com/", "<a href=//other.net/x?y>"),
@@ -549,6 +632,52 @@ def test_covered_limit_rejects_what_the_base_keeps(spark):
     assert not got[1].kept and got[2].kept and got[3].kept
 
 
+def plain_loads(sizes, bins):
+    """Loads of the bins: large groups alone, the others by best fit of one after the other."""
+    sizes, alone = sorted(sizes, reverse=True), []
+    while sizes and bins > 1 and sizes[0] * bins > sum(sizes):
+        alone.append(sizes.pop(0))
+        bins -= 1
+
+    def fit(capacity):
+        loads = []
+        for s in sizes:
+            able = [(capacity - load, n) for n, load in enumerate(loads) if load + s <= capacity]
+            if able:
+                loads[min(able)[1]] += s
+            elif len(loads) == bins:
+                return None
+            else:
+                loads.append(s)
+        return loads
+
+    low = high = max(sizes[0], -(-sum(sizes) // bins))
+    step = max(1, high // 1024)
+    while fit(high) is None:
+        low, high, step = high + 1, high + step, 2 * step
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if fit(mid) is None else (low, mid)
+    return sorted(alone + fit(high))
+
+
+def test_shards_are_those_of_plain_best_fit(spark, documents):
+    groups = Counter()
+    for _, text in documents:
+        groups[text or ""] += len((text or "").encode()) + 1
+    load = Counter()
+    for r in sharding.op3_sharding(spark, DATA).collect():
+        load[r.shard] += r.size
+    assert sorted(load.values()) == plain_loads(groups.values(), 8)
+    rng = random.Random(10)
+    for _ in range(20):
+        sizes = [rng.randint(1, 40) for _ in range(60)] + [rng.randint(1, 900) for _ in range(rng.randint(0, 3))]
+        got = Counter()
+        for size, n, number in sharding.near_equal(sorted(Counter(sizes).items(), reverse=True), 5):
+            got[number] += size * n
+        assert sorted(got.values()) == plain_loads(sizes, 5)
+
+
 def test_shards_of_a_capacity(spark):
     rng = random.Random(8)
     groups = {n: [rng.randint(1, 30) for _ in range(rng.randint(1, 3))] for n in range(60)} | {60: [70, 70]}

@@ -299,10 +299,12 @@ class _Linker:
         by_comp = places.groupBy("half", "comp").agg(F.count(F.lit(1)).alias("c"))
         mains = by_comp.groupBy("half").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
         # by slot: 32 bits of the first half's key, and of the second's; a key that isn't shared is replaced by another
-        key = lambda k: F.coalesce(F.element_at("by_slot", F.lit(k)), F.xxhash64("node", F.lit(k)))
+        key = lambda k: F.coalesce(F.get(F.filter("live", lambda x: x["slot"] == k), F.lit(0))["key"], F.xxhash64("node", F.lit(k)))
         high = F.lit(-1 << 32)
         packed = F.array(*[key(k).bitwiseAND(high).bitwiseOR(F.shiftrightunsigned(key(self.m + k), 32)) for k in range(self.m)])
-        packs = shared.withColumn("by_slot", F.map_from_entries("live")).select("node", "most", packed.alias("packed"))
+        # an id with several texts may have several keys in a slot, of which ``packed`` has one
+        several = F.size("live") > F.size(F.array_distinct(F.transform("live", lambda x: x["slot"])))
+        packs = shared.select("node", "most", several.alias("several"), packed.alias("packed"))
         sketched = shared_table(packs.join(self.sketches, "node"), "sketches")
         rows = places.join(mains, "half").withColumn("head", F.col("comp") != F.col("main")).drop("main")
         members = shared_table(rows.join(sketched, "node"), "members")
@@ -319,8 +321,7 @@ class _Linker:
             100 * F.least("n", "p_n") >= self.percent * F.greatest("n", "p_n"),
             self.may_link("", "p_"),
             ~reduce(lambda x, y: x | y, [(F.col("slot") > k) & same_a[k] for k in range(self.m)]),
-            count(same_b) > 0,
-            count([*same_a, *same_b]) >= MIN_SHARED,
+            F.col("several") | F.col("p_several") | ((count(same_b) > 0) & (count([*same_a, *same_b]) >= MIN_SHARED)),
         ])
         return members.join(heads, on).select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v"))
 
@@ -382,5 +383,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT doc_id, ws, least(5, len(ws)) AS k FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM n WHERE k > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.part = b.part AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT u, v FROM p JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * m >= 75 * (x.n + y.n - m)),
+r AS (SELECT doc_id, doc_id AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id WHERE r.root < e.v)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(f.root, w.doc_id) AS component_id, coalesce(f.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) f ON f.doc_id = w.doc_id
+"""
 QUERIES = {"op5_minhash": op5_minhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_minhash": ORACLE}

@@ -254,14 +254,14 @@ def pack_documents(
     by hash. With ``keep_ids``, ``ids`` has each piece's ids (little-endian, 32 bits).
 
     A null text is empty: a piece of just ``end_id``. Null and repeated ids are
-    rows like any other. Other columns are not read. No rows give no rows.
+    rows like any other, and repeated rows are dealt over all groups. Other columns are not read. No rows give no rows.
     """
     path = tokenizer or tokenizer_path()
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _cut_pieces(path, length, end_id, keep_ids), _PIECES + (", ids binary" if keep_ids else "")
     )
-    # the draw depends on the piece alone, so a task that runs again deals alike
-    pieces = cut(made.withColumn("draw", F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens")))
+    # with its place in the table, as repeated rows would all draw one group; the draws are fixed once they are written
+    pieces = cut(made.withColumn("draw", F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.monotonically_increasing_id())))
     full, short = pieces.where(F.col("length") == length), pieces.where(F.col("length") < length)
     groups = max(1, -(-short.count() // group_pieces))
     dealt = short.withColumn("group", F.pmod("draw", F.lit(groups))).drop("draw")

@@ -140,5 +140,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+e AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS word, len(ws) AS n FROM w),
+l AS (SELECT r, count(line) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+g AS (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w CROSS JOIN (VALUES (5), (8)) v(k) WHERE len(ws) >= k)),
+c AS (SELECT r, k, count(DISTINCT p) AS n FROM (SELECT r, k, unnest(range(i, i + k)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, k, part) AS m FROM g) WHERE m > 1) GROUP BY r, k),
+d AS (SELECT a.r, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run FROM e a JOIN e b ON a.r = b.r AND a.word = b.word AND a.i < b.i),
+z AS (SELECT r, max(m) AS longest FROM (SELECT r, count(*) AS m FROM d GROUP BY r, gap, run) GROUP BY r),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(c5.n, 0) AS n_repeat_words, coalesce(c8.n, 0) AS n_covered, coalesce(longest, 0) AS longest_repeat
+  FROM w LEFT JOIN l ON l.r = w.r LEFT JOIN c c5 ON c5.r = w.r AND c5.k = 5 LEFT JOIN c c8 ON c8.r = w.r AND c8.k = 8 LEFT JOIN z ON z.r = w.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_covered > 0.1 * n_words OR longest_repeat > 50) AS kept FROM m
+"""
 QUERIES = {"op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_quality": ORACLE}

@@ -158,5 +158,27 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+_RULE = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
+ORACLE = r"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+u AS (SELECT src, translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(nullif(regexp_extract(link, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') AS path
+  FROM (SELECT host AS src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link
+    FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?((?:https?:)?//[^\s"''<>]+)', 1)) AS link FROM p WHERE host <> ''))),
+r AS (SELECT *, @RULE AS rule FROM p),
+l AS (SELECT src, host AS dst, count(*) AS weight, count(*) FILTER (WHERE @RULE = 'net/') AS blocked FROM u WHERE host <> '' AND src <> host GROUP BY src, host),
+h AS (SELECT host, count(*) FILTER (WHERE rule IN ('example.net/en/', 'org/fr/')) AS allowed, count(*) FILTER (WHERE rule = 'net/') AS blocked FROM r WHERE host <> '' GROUP BY host),
+s AS (SELECT 'trust' AS kind, host, allowed AS mass FROM h WHERE allowed > 0 AND blocked = 0 UNION ALL SELECT 'distrust', host, blocked FROM h WHERE blocked > 0
+  UNION ALL SELECT 'distrust', dst, sum(blocked) FROM l WHERE dst NOT IN (SELECT host FROM h) GROUP BY dst HAVING sum(blocked) > 0),
+t AS (SELECT kind, a, b, weight / sum(weight) OVER (PARTITION BY kind, a) AS share FROM (SELECT 'trust' AS kind, src AS a, dst AS b, weight FROM l UNION ALL SELECT 'distrust', dst, src, weight FROM l)),
+m AS (SELECT kind, host, CAST(0.15 * mass AS DOUBLE) AS m FROM s UNION ALL
+  SELECT x.kind, t.b, sum(0.85 * t.share * x.m) FROM (SELECT *, sum(m) OVER (PARTITION BY kind) AS moving FROM m) x JOIN t ON t.kind = x.kind AND t.a = x.host WHERE x.moving >= 1e-6 GROUP BY x.kind, t.b),
+f AS (SELECT host, coalesce(sum(m) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(m) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM m GROUP BY host)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN distrust > 0 AND distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN f ON f.host = r.host
+""".replace("@RULE", _RULE)
 QUERIES = {"op6_url_filter": op6_url_filter}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_url_filter": ORACLE}
