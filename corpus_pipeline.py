@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import shared_table
+from vecmill.llm.common import drop_tables, shared_table
 from vecmill.llm.line_dedup import dedup_lines
 from vecmill.llm.mixing import sample_mix
 from vecmill.llm.near_dedup import near_duplicates
@@ -63,8 +63,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on ``documents``, each written as Parquet and read again; a stage's table goes once the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return docs
