@@ -81,8 +81,8 @@ def mih_histogram(spark, sf_dir):
 def mih_postings(spark, sf_dir):
     """Rows of a bucket in order, each with its place: gathered lists would grow with the table.
 
-    Ranges of rows are numbered apart, and shifted by what the ranges before hold of
-    the bucket (1,024 buckets by ranges), so that no task sees a whole bucket.
+    Ranges of 2^20 rows are numbered apart, and shifted by what the ranges before hold
+    of the bucket, so that no task sees a whole bucket.
     """
     posted = _postings(_words(spark, sf_dir)).withColumn("part", F.col("row_idx").bitwiseAND(F.lit(-(1 << 20))))
     counts = posted.groupBy("chunk", "key", "part").agg(F.count(F.lit(1)).alias("n"))
