@@ -34,6 +34,8 @@ ROWS_PER_CELL = 16_384
 KEPT_BLOCKS = 12
 #: Queries whose bounds with a block are held at once.
 TOGETHER = 32
+#: Where more than 1 of so many pairs are left, they are scored with all others by a product of matrices.
+DENSE = 16
 
 _BLOCK = "block long, dim int, ids binary, vectors binary"
 
@@ -93,8 +95,8 @@ class BlockIndex:
     """A block of rows with their segment statistics, and the ranges of the coarsest."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: tuple[int, ...] = LEVELS):
-        self.ids, self.exact = ids, vectors
-        self.stats = [_segments(vectors.astype(np.float64), n) for n in levels]
+        self.ids, self.exact, self.wide = ids, vectors, vectors.astype(np.float64)
+        self.stats = [_segments(self.wide, n) for n in levels]
         self.low, self.high = self.stats[0].min(axis=0), self.stats[0].max(axis=0)
         self.largest = int(np.abs(vectors).max(initial=0))
 
@@ -106,8 +108,8 @@ class Asked:
     """A block of queries and the best rows found for each so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
-        self.ids, self.exact, self.k = ids, vectors, k
-        self.stats = [_segments(vectors.astype(np.float64), n) for n in levels]
+        self.ids, self.exact, self.wide, self.k = ids, vectors, vectors.astype(np.float64), k
+        self.stats = [_segments(self.wide, n) for n in levels]
         self.largest = int(np.abs(vectors).max(initial=0))
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), best first
         self.least = np.full(len(ids), _NONE)
@@ -143,11 +145,18 @@ class Asked:
                     bound[row][probe] = -np.inf
                     scored += len(probe)
             floor = self._floor(which)
-            q, x = np.nonzero((bound >= floor[:, None]) & (bound > -np.inf))
+            left = (bound >= floor[:, None]) & (bound > -np.inf)
             for fine_q, fine_x in zip(self.stats[1:], block.stats[1:]):
-                keep = np.einsum("ij,ij->i", fine_q[which[q]], fine_x[x]) >= floor[q]
-                q, x = q[keep], x[keep]
-            scores = np.einsum("ij,ij->i", self.exact[which[q]], block.exact[x])
+                if left.sum() * DENSE > left.size:  # one product of matrices is cheaper than picking pairs
+                    left &= fine_q[which] @ fine_x.T >= floor[:, None]
+                else:
+                    q, x = np.nonzero(left)
+                    left[q, x] = np.einsum("ij,ij->i", fine_q[which[q]], fine_x[x]) >= floor[q]
+            q, x = np.nonzero(left)
+            if len(q) * DENSE > left.size and self.largest * block.largest * max(1, self.exact.shape[1]) < 1 << 53:
+                scores = (self.wide[which] @ block.wide.T)[q, x].astype(np.int64)  # integers under 2^53 are exact as doubles
+            else:
+                scores = np.einsum("ij,ij->i", self.exact[which[q]], block.exact[x])
             scored += len(scores)
             better = scores >= self.least[which[q]]
             q, x, scores = q[better], x[better], scores[better]
