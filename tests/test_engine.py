@@ -74,7 +74,8 @@ def test_routed_search_and_votes(spark, tmp_path):
     assert all(r.query_id == r.id for r in best) and len(best) == 5
     families = df.limit(8).withColumns({"family": (F.col("id") - 1000).cast("int"), "threshold": F.lit(30)})
     grid = index.query_planetary_grid(families, min_votes=1)
-    assert grid["masks"].count() == 120 and grid["reranked"].count() > 0
+    best = [(-r.score, -r.votes, r.row_idx) for r in grid["reranked"].collect()]
+    assert grid["masks"].count() == 120 and best and best == sorted(best)
     with pytest.raises(ValueError):
         index.query_planetary_grid(families.withColumn("family", F.lit(8)))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.operators.order import numbered
 from vecmill.operators.search import MOST_BROADCAST, cosine, count_queries, hamming, meet, prefixed
 
 RESONANT = 5
@@ -41,9 +40,8 @@ def resonant_count(masks: DataFrame, least: int = RESONANT) -> DataFrame:
 
 
 def grid_rerank(masks: DataFrame, rows: DataFrame, queries: DataFrame, min_votes: int = RESONANT, n_queries: int | None = None) -> DataFrame:
-    """(rank, row_idx, id, votes, mask, score): rows with the votes, by their highest cosine to any query, then votes, then row."""
+    """(row_idx, id, votes, mask, score): rows with the votes, in the order of their highest cosine to any query, then votes, then row."""
     chosen = masks.where(F.col("votes") >= min_votes).join(rows.select("row_idx", "vec"), "row_idx")
     met = meet(chosen, prefixed(queries.select("vector")), n_queries)
     best = met.groupBy("row_idx", "id", "votes", "mask").agg(F.max(cosine("q_vector", "vec")).alias("score"))
-    placed = numbered(best, -F.col("score"), F.desc("votes"), F.col("row_idx"), name="before")
-    return placed.select((F.col("before") + 1).alias("rank"), "row_idx", "id", "votes", "mask", "score")
+    return best.orderBy(F.desc("score"), F.desc("votes"), "row_idx")

@@ -196,7 +196,7 @@ def vote_rerank(spark, sf_dir):
     """Resonant rows in order: score, then votes, both descending."""
     queries, n = _family_queries(_base(spark, sf_dir))
     rows = encode(_base(spark, sf_dir), "vector", _rotation(), 1, "fp8")
-    return V.grid_rerank(_masks(spark, sf_dir), rows, queries, MIN_VOTES, n).select("rank", "id", "votes", "mask", F.round("score", 5).alias("score"))
+    return V.grid_rerank(_masks(spark, sf_dir), rows, queries, MIN_VOTES, n).select("id", "votes", "mask", F.round("score", 5).alias("score"))
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -458,7 +458,7 @@ ORACLES = {
     "vote_resonant_count": f"WITH {_E}, {_FAM} SELECT count(*) AS resonant_count FROM m WHERE votes >= 5",
     "vote_rerank": f"""WITH {_E}, {_FAM}, {_F8}, s AS (SELECT m.id, votes, mask, q.id AS qid, sum(q.x * f.v) / (sqrt(sum(q.x * q.x)) * sqrt(sum(f.v * f.v))) AS s
   FROM m JOIN f ON f.id = m.id JOIN e q ON q.j = f.j WHERE votes >= {MIN_VOTES} AND q.id % {QUERY_STEP} = 0 GROUP BY ALL), t AS (SELECT id, votes, mask, max(s) AS s FROM s GROUP BY id, votes, mask)
-  SELECT row_number() OVER (ORDER BY s DESC, votes DESC, id) AS rank, id, votes, mask, round(s, 5) AS score FROM t""",
+  SELECT id, votes, mask, round(s, 5) AS score FROM t""",
     "delta_live": "SELECT vec_id + 100000 AS id, vec_id AS seq FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 21 <> 0",
     "delta_search_merged": "WITH " + f"b AS ({_PAIR.format(d=_D2)}), u AS (SELECT *, 0 AS side FROM b UNION ALL SELECT query_id, id + 100000, d, 1 FROM b WHERE id % 7 = 0 AND id % 21 <> 0) " + _TOP.format(cols="id", order="d, side, id", src="u"),
     "compact_union": "SELECT CAST(row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS BIGINT) AS row_idx, vec_id AS id FROM embeddings",
