@@ -51,10 +51,19 @@ def l2_squared(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0D, (s, v) -> s + v)")
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> cast(p as double) * q), 0D, (s, v) -> s + v)"
-    norm = lambda x: f"if({dot(x, x)} = 0, 1D, sqrt({dot(x, x)}))"
-    return F.expr(f"{dot(a, b)} / ({norm(a)} * {norm(b)})")
+def _dot(x: str, y: str) -> str:
+    return f"aggregate(zip_with({x}, {y}, (p, q) -> cast(p as double) * q), 0D, (s, v) -> s + v)"
+
+
+def norm(x: str) -> Column:
+    """The L2 norm, 1 for a vector of zeros."""
+    return F.expr(f"if({_dot(x, x)} = 0, 1D, sqrt({_dot(x, x)}))")
+
+
+def cosine(a: str, b: str, norms: tuple[str, str] | None = None) -> Column:
+    """Cosine of two vectors; ``norms``: columns that have their norms, so that pairs needn't make them."""
+    x, y = (norm(a), norm(b)) if norms is None else (F.col(norms[0]), F.col(norms[1]))
+    return F.expr(_dot(a, b)) / (x * y)
 
 
 def score(distance: Column, scale: float = 1e6) -> Column:

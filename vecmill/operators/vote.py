@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.operators.search import MOST_BROADCAST, cosine, count_queries, hamming, meet, prefixed
+from vecmill.operators.search import MOST_BROADCAST, cosine, count_queries, hamming, meet, norm, prefixed
 
 RESONANT = 5
 
@@ -41,7 +41,7 @@ def resonant_count(masks: DataFrame, least: int = RESONANT) -> DataFrame:
 
 def grid_rerank(masks: DataFrame, rows: DataFrame, queries: DataFrame, min_votes: int = RESONANT, n_queries: int | None = None) -> DataFrame:
     """(row_idx, id, votes, mask, score): rows with the votes, in the order of their highest cosine to any query, then votes, then row."""
-    chosen = masks.where(F.col("votes") >= min_votes).join(rows.select("row_idx", "vec"), "row_idx")
-    met = meet(chosen, prefixed(queries.select("vector")), n_queries)
-    best = met.groupBy("row_idx", "id", "votes", "mask").agg(F.max(cosine("q_vector", "vec")).alias("score"))
+    chosen = masks.where(F.col("votes") >= min_votes).join(rows.select("row_idx", "vec", norm("vec").alias("norm")), "row_idx")
+    met = meet(chosen, prefixed(queries.select("vector", norm("vector").alias("norm"))), n_queries)
+    best = met.groupBy("row_idx", "id", "votes", "mask").agg(F.max(cosine("q_vector", "vec", ("q_norm", "norm"))).alias("score"))
     return best.orderBy(F.desc("score"), F.desc("votes"), "row_idx")
