@@ -469,6 +469,49 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none):
     assert corpus_pipeline.packing(spark, none, DATA).count() == 0 and corpus_pipeline.packing(spark, odd, DATA).count() >= len(ODD)
 
 
+def test_pipeline_gives_workers_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    most, setting = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def bounded(function):
+        def made(*args):
+            run = function(*args)
+
+            def checked(batches):
+                def each():
+                    for batch in batches:
+                        if batch.nbytes > most:
+                            raise ValueError(f"a batch of {batch.nbytes} bytes")
+                        yield batch
+
+                return run(each())
+
+            return checked
+
+        return made
+
+    for module, name in ((quality, "_measured"), (packing, "_cut_pieces")):
+        monkeypatch.setattr(module, name, bounded(getattr(module, name)))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[-1]])
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(700))
+    rows = [(n, text(), "en", "src", 0) for n in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(setting)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert spark.conf.get(setting) == before
+    try:
+        kept = cut(corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), DATA))
+        assert kept.count() == len(rows)
+        spark.conf.set(setting, "4096")
+        corpus_pipeline.packing(spark, kept, DATA)
+        assert spark.conf.get(setting) == "4096"
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_near_duplicates_of_edited_copies(spark):
     """Copies of copies, with deletions, replacements and repeats: many of them near 0.75 of each other."""
     rng = np.random.default_rng(5)
