@@ -359,6 +359,38 @@ def test_encoder_with_few_words_kept():
         assert encoder.ids(text) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_finds_plain_words_itself():
+    """Case, marks, digits and endings don't make a stretch take the whole way, and a word is kept once, whatever is beside it."""
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    text = "(Straße) don't STRAßE,\t\"straße\" 12,5 a||b x_1\r\n[ÀÉ]... ÀÉ'll 'Straße's' " + "y" * 300
+
+    def refused(*args, **more):
+        raise AssertionError("took the whole way")
+
+    encoder._encode = refused
+    assert encoder.ids(text) == whole.encode(text, add_special_tokens=False).ids
+    assert [w for w in encoder._parts if "straße" in w] == ["straße"] and len(encoder._known) == 0
+
+
+def test_encoder_with_odd_characters():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    encoders = [packing.Encoder(packing.tokenizer_path(), *kept) for kept in ((), (5, 7))]
+    rng, odd = random.Random(12), "\x00\x0b\x0c\x1c\x1f\x7f\x85\xa0ªµº×÷ĀſİıΣσς‘’“”\u0301\u0308\u2028\u3000Ⅷ²½中文語Жж😀\ufeffK"
+    pieces = [*odd, *"aAeEoOßÀéÿÞ0179.,;'\"|<>-_", "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", *" \n\t\r" * 4]
+    for n in range(400):
+        among = pieces if n % 2 else [c for c in pieces if c not in odd]
+        text = "".join(rng.choices(among, k=rng.randint(0, 60)))
+        for encoder in encoders:
+            assert encoder.ids(text) == whole.encode(text, add_special_tokens=False).ids, text
+    long = ["x" * 5000 + str(n) + "中" * 5000 for n in range(8)]
+    assert [encoders[1].ids(t) for t in long] == [whole.encode(t, add_special_tokens=False).ids for t in long]
+    assert len(encoders[1]._known) <= 2  # long stretches count by their characters
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     for _ in range(20):
