@@ -569,6 +569,42 @@ def test_near_duplicates_of_edited_copies(spark):
     assert len(set(root)) > 2
 
 
+@pytest.mark.parametrize("file_rows", [50_000, 10])
+def test_near_duplicates_write_few_files_for_few_links(spark, monkeypatch, file_rows):
+    """Whatever the number of partitions: files of numbers of nodes and links follow these, also where they need several."""
+    from vecmill.llm import common, components
+
+    rng, rows, files = random.Random(21), [], {}
+    for n in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
+        for _ in range(3):
+            words[rng.randrange(80)] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    write = common.shared_table
+
+    def counted(df, name, *bound):
+        made = write(df, name, *bound)
+        files.setdefault(name, []).append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(common, "FILE_ROWS", file_rows, raising=False)
+    monkeypatch.setattr(near_dedup, "shared_table", counted)
+    monkeypatch.setattr(components, "shared_table", counted)
+    settings = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
+    small = ("edges", "hooks", "pointers", "components", "sized", "sharing-nodes", "paired")
+    most = max(n for name in small for n in files[name])
+    assert most == 1 if file_rows == 50_000 else 1 < most <= 2 * len(rows) // file_rows + 1
+
+
 def test_mixing_keeps_its_share_whatever_cells_are_rare(spark, documents):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source", "lang")
     rare = spark.createDataFrame([(-1, "five words in one cell", "rare", "xx")], docs.schema)

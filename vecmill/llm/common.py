@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of white space in every contract of this subpackage: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: A table whose rows are known to be few and narrow gets a file for each so many of them.
+FILE_ROWS = 50_000
+
 _MASK = (1 << 64) - 1
 
 
@@ -43,9 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns it as read from there."""
+def shared_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and returns it as read from there.
+
+    ``rows``: a bound of its rows, if these are a few numbers each. They go to a file for
+    each FILE_ROWS of the bound at most, instead of one for each partition; each file
+    that is written to a local folder starts some processes (chmod) besides.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)

@@ -164,6 +164,8 @@ class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, m: int, width: int, percent: int):
         self.docs, self.nodes, self.m, self.width, self.percent = docs, nodes, m, width, percent
         self.known: DataFrame | None = None
+        # bounds of the nodes that share keys, and of the rows of ``known``
+        self.n_nodes = self.n_known = 0
 
     def shared_keys(self, rows: DataFrame) -> DataFrame:
         """(node, comp, size, n, live, weight, a, b): the keys that each node shares with another component; some in both halves.
@@ -191,7 +193,8 @@ class _Linker:
         return out
 
     def build_sets(self, shared: DataFrame) -> None:
-        wanted = shared_table(shared.select(F.col("node").alias("doc_id")).distinct(), "sharing-nodes")
+        self.n_nodes = shared.count()
+        wanted = shared_table(shared.select(F.col("node").alias("doc_id")).distinct(), "sharing-nodes", self.n_nodes)
         chosen = self.docs.join(wanted, "doc_id", "left_semi")
         self.sets = shared_table(chosen.mapInArrow(_sets(self.width), _SETS), "shingle-sets")
         drop_tables(wanted)
@@ -218,7 +221,7 @@ class _Linker:
         """Joins the components of linked ``pairs`` (u < v, distinct); how many are linked."""
         pairs = shared_table(pairs, "pairs")
         # the sets of these nodes alone are dealt out
-        wanted = shared_table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired")
+        wanted = shared_table(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired", self.n_nodes)
         few = self.sets.select("node", "shingles").join(wanted, "node", "left_semi")
         full = lambda x: few.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
         found = pairs.join(full("u"), "u").join(full("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
@@ -227,15 +230,16 @@ class _Linker:
         n_links = links.count()
         if not n_links:
             return 0
+        self.n_known += 2 * n_links
         if self.known is None:
-            self.known = connected_components(links).withColumnRenamed("root", "comp")
+            self.known = connected_components(links, n_links).withColumnRenamed("root", "comp")
             return n_links
         of = lambda x: self.known.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
         edges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("comp_u", "u").alias("u"), F.coalesce("comp_v", "v").alias("v"))
-        roots = connected_components(edges)
+        roots = connected_components(edges, n_links)
         moved = self.known.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
         new = roots.join(self.known.select("node"), "node", "left_anti").select("node", F.col("root").alias("comp"))
-        self.known = shared_table(moved.unionByName(new), "components")
+        self.known = shared_table(moved.unionByName(new), "components", self.n_known)
         return n_links
 
     def labelled(self) -> DataFrame:
@@ -243,7 +247,7 @@ class _Linker:
         if self.known is None:
             return self.nodes.select("node", F.col("node").alias("comp"), F.lit(1).cast("long").alias("size"), "n", "keys")
         sizes = self.known.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        known = shared_table(self.known.join(sizes, "comp").select("node", "comp", "size"), "sized")
+        known = shared_table(self.known.join(sizes, "comp").select("node", "comp", "size"), "sized", self.n_known)
         rows = self.nodes.join(known, "node", "left")
         return rows.select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "n", "keys")
 
@@ -329,8 +333,8 @@ class _Linker:
         """(node, comp) of all nodes with links; None if there are none."""
         shared = self.shared_keys(self.labelled())
         self.build_sets(shared)
-        turn, n_nodes = 0, shared.count()
-        while self.verify(self.similar(self.stars(shared, turn))) * FEW > n_nodes:
+        turn = 0
+        while self.verify(self.similar(self.stars(shared, turn))) * FEW > self.n_nodes:
             shared, turn = self.shared_keys(self.labelled()), turn + 1
         if turn or self.known is not None:
             shared = self.shared_keys(self.labelled())
