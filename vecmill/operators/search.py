@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecmill.operators.blocks import L2, Cosine, nearest
+
 #: Queries up to this count are broadcast; more meet the rows in blocks (a cartesian product of partitions).
 MOST_BROADCAST = 20_000
 #: Candidates (queries x shortlist) up to this count are broadcast to the rows that they are fetched from.
@@ -86,10 +88,10 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", n_queri
     """(query_id, rank, id, distance) over (id, vector): squared L2 or cosine (highest first)."""
     if metric not in ("l2", "cosine"):
         raise ValueError("metric: l2 or cosine")
-    pairs = meet(rows.select("id", "vector"), prefixed(queries.select("id", "vector")), n_queries)
-    value = l2_squared("q_vector", "vector") if metric == "l2" else cosine("q_vector", "vector")
-    found = pairs.select("q_id", "id", value.alias("distance"))
-    first = F.col("distance").asc() if metric == "l2" else F.col("distance").desc()
+    n = count_queries(queries) if n_queries is None else n_queries
+    found = nearest(rows.select("id", "vector"), queries.select("id", "vector"), k, L2() if metric == "l2" else Cosine(), n <= MOST_BROADCAST)
+    found = found.select(F.col("a0").alias("q_id"), "id", F.col("value").alias("distance"))
+    first = F.asc_nulls_last("distance") if metric == "l2" else F.desc_nulls_last("distance")
     return ranked(found, k, first, "id").select(F.col("q_id").alias("query_id"), "rank", "id", "distance")
 
 

@@ -100,21 +100,19 @@ def mih_pass1_candidates(spark, sf_dir):
     return met.where(S.probe_group() == 0).select(F.col("q_id").alias("query_id"), "id")
 
 
-def _gate(spark, sf_dir, bits, distance, label, k=K) -> DataFrame:
+def _gate(spark, sf_dir, bits, label, k=K) -> DataFrame:
     """The ``k`` rows nearest to each query by words alone."""
     queries, n = _asked(_base(spark, sf_dir))
-    names = ["id", "s0", "m0"][: bits + 1]
-    met = S.meet(_words(spark, sf_dir, bits).select(*names), S.prefixed(_coded(queries, bits).select(*names)), n)
-    found = S.ranked(met.select("q_id", "id", distance.alias(label)), k, label, "id")
+    found = S.nearest_words(_words(spark, sf_dir, bits), _coded(queries, bits), k, DIM, bits, n_queries=n, name=label)
     return found.select(F.col("q_id").alias("query_id"), "rank", "id", label)
 
 
 def hamming_topk(spark, sf_dir):
-    return _gate(spark, sf_dir, 1, S.hamming(DIM), "hamming")
+    return _gate(spark, sf_dir, 1, "hamming")
 
 
 def ternary_topk(spark, sf_dir):
-    return _gate(spark, sf_dir, 2, S.ternary(DIM), "distance")
+    return _gate(spark, sf_dir, 2, "distance")
 
 
 def _knn(metric):
@@ -130,10 +128,9 @@ def _knn(metric):
 def knn_float_mode(spark, sf_dir):
     """Search over rotated floats; the public score is the squared distance in thousandths."""
     queries, n = _asked(_base(spark, sf_dir))
-    rows = _coded(_base(spark, sf_dir), with_z=True)
-    met = S.meet(rows.select("id", "z"), S.prefixed(_coded(queries, with_z=True).select("id", "z")), n)
-    found = S.ranked(met.select("q_id", "id", S.l2_squared("q_z", "z").alias("d")), K, "d", "id")
-    return found.select(F.col("q_id").alias("query_id"), "rank", "id", S.score(F.col("d"), 1000.0).alias("score"))
+    rotated = lambda rows: _coded(rows, with_z=True).select("id", F.col("z").alias("vector"))
+    found = S.knn(rotated(_base(spark, sf_dir)), rotated(queries), K, n_queries=n)
+    return found.select("query_id", "rank", "id", S.score(F.col("distance"), 1000.0).alias("score"))
 
 
 def _decoded(mode):
@@ -255,7 +252,7 @@ def recall_at_k(spark, sf_dir):
     base = _base(spark, sf_dir)
     queries, n = _asked(base)
     exact = S.knn(base, queries, K, n_queries=n).select("query_id", "id")
-    near = _gate(spark, sf_dir, 1, S.hamming(DIM), "hamming", CANDIDATES).select("query_id", "id", F.lit(1).alias("hit"))
+    near = _gate(spark, sf_dir, 1, "hamming", CANDIDATES).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"))
 
 

@@ -133,7 +133,7 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, strategy: str = "scan") -> DataFrame:
         """(query_id, rank, id, score, distance) for ``queries`` (id, vector); ``mih`` routes by buckets (approximate)."""
-        from vecmill.operators.search import cascade, count_queries, l2_squared, meet, prefixed, ranked, score, shortlist
+        from vecmill.operators.search import cascade, count_queries, knn, score, shortlist
 
         if k <= 0:
             raise ValueError("k must be positive")
@@ -141,9 +141,11 @@ class Index:
             raise ValueError("strategy: scan or mih")
         m, n, asked = self.manifest, count_queries(queries), self.encode_queries(queries)
         if m.quantisation == "float32":
-            met = meet(self.rows.where(~F.col("deleted")).select("row_idx", "id", "z"), prefixed(asked.select("id", "z")), n)
-            found = ranked(met.select("q_id", "id", "row_idx", l2_squared("q_z", "z").alias("distance")), k, "distance", "row_idx")
-            return found.select(F.col("q_id").alias("query_id"), "rank", "id", score(F.col("distance"), 1000.0).alias("score"), "distance")
+            live = self.rows.where(~F.col("deleted"))
+            rotated = lambda df, name: df.select(F.col(name).alias("id"), F.col("z").alias("vector"))
+            found = knn(rotated(live, "row_idx"), rotated(asked, "id"), k, n_queries=n).withColumnRenamed("id", "row_idx")
+            found = found.join(live.select("row_idx", "id"), "row_idx")
+            return found.select("query_id", "rank", "id", score(F.col("distance"), 1000.0).alias("score"), "distance")
         routed = strategy == "mih"
         most = shortlist(m.size, k, m.sidecar, routed)
         found = cascade(self.rows, asked, k, self.width, most, m.dim, QUANTISATION[m.quantisation], m.sidecar, routed, n_queries=n)
