@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecmill.functions.transform import Rotation, quantise, unpack_bits
 from vecmill.operators import blocks
 from vecmill.operators import search as S
+from vecmill.operators import vote as V
 from vecmill.operators.encode import encode
 from vecmill.plans.registry import QUERIES
 
@@ -39,7 +41,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["rerank_cosine"])
+@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank"])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
 
@@ -95,3 +97,31 @@ def test_nearest_of_odd_vectors(spark):
     assert S.knn(spark.createDataFrame([], VECTORS), asked, 3).count() == 0 and S.knn(asked, asked.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 2])
+def test_votes_and_their_ranks(spark, monkeypatch, most):
+    for name, value in {"ROW_BLOCK": 50, "QUERY_BLOCK": 4, "TOGETHER": 7, "PER_PARTITION": 8}.items():
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(V, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 64))
+    rotation = Rotation(64, [64])
+    frame = spark.createDataFrame([(1000 + n, n, [float(v) for v in r], n % 9 == 4) for n, r in enumerate(x)], "id long, row_idx long, vector array<double>, deleted boolean").repartition(3)
+    rows = encode(frame, "vector", rotation, 1, "fp16")
+    asked = frame.where("row_idx < 20").withColumns({"family": (F.col("row_idx") % 8).cast("int"), "threshold": F.when(F.col("row_idx") != 7, 28 + F.col("row_idx") % 3)})
+    queries = encode(asked, "vector", rotation).drop("deleted")
+    z = rotation.apply(x) >= 0
+    want = {}
+    for n in range(200):
+        hits = {q % 8 for q in range(20) if q != 7 and (z[q] != z[n]).sum() <= 28 + q % 3}
+        want[n] = 0 if n % 9 == 4 else sum(1 << f for f in hits)
+    masks = V.voting_masks(rows, queries, 64)
+    assert {r.row_idx: (r.id, r.mask, r.votes) for r in masks.collect()} == {n: (1000 + n, m, bin(m).count("1")) for n, m in want.items()}
+    none = V.voting_masks(rows, queries.where("id < 0"), 64).agg(F.count(F.lit(1)), F.max("mask"), F.max("votes")).first()
+    assert tuple(none) == (200, 0, 0)
+    half = x.astype(np.float32).astype(np.float16).astype(np.float64)
+    cosine = (x[:20] @ half.T / np.linalg.norm(x[:20], axis=1)[:, None] / np.linalg.norm(half, axis=1)).max(axis=0)
+    got = V.grid_rerank(masks, rows, asked, 2).collect()
+    assert [r.row_idx for r in got] == sorted((n for n in want if bin(want[n]).count("1") >= 2), key=lambda n: -cosine[n])
+    assert got and all(abs(r.score - cosine[r.row_idx]) < 1e-12 and r.mask == want[r.row_idx] for r in got)
+
+

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmill.operators.blocks import L2, Cosine, nearest
+from vecmill.operators.blocks import L2, Bits, Cosine, nearest
 
 #: Queries up to this count are broadcast; more meet the rows in blocks (a cartesian product of partitions).
 MOST_BROADCAST = 20_000
@@ -32,10 +32,9 @@ def _masked(x: Column, bits: int) -> Column:
     return x if bits >= 64 else x.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def hamming(width: int, left: str = "s", right: Column | None = None) -> Column:
-    """Differing bits among the first ``width`` of the words s0, .. and q_s0, ..; the latter of a struct ``right`` if there is one."""
-    other = lambda k: F.col(f"q_s{k}") if right is None else right[f"q_s{k}"]
-    parts = [F.bit_count(_masked(F.col(f"{left}{k}").bitwiseXOR(other(k)), width - 64 * k)) for k in range(-(-width // 64))]
+def hamming(width: int) -> Column:
+    """Differing bits among the first ``width`` of the words s0, .. and q_s0, ..."""
+    parts = [F.bit_count(_masked(F.col(f"s{k}").bitwiseXOR(F.col(f"q_s{k}")), width - 64 * k)) for k in range(-(-width // 64))]
     return reduce(add, parts).cast("int")
 
 
@@ -53,21 +52,6 @@ def l2_squared(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0D, (s, v) -> s + v)")
 
 
-def _dot(x: str, y: str) -> str:
-    return f"aggregate(zip_with({x}, {y}, (p, q) -> cast(p as double) * q), 0D, (s, v) -> s + v)"
-
-
-def norm(x: str) -> Column:
-    """The L2 norm, 1 for a vector of zeros."""
-    return F.expr(f"if({_dot(x, x)} = 0, 1D, sqrt({_dot(x, x)}))")
-
-
-def cosine(a: str, b: str, norms: tuple[str, str] | None = None) -> Column:
-    """Cosine of two vectors; ``norms``: columns that have their norms, so that pairs needn't make them."""
-    x, y = (norm(a), norm(b)) if norms is None else (F.col(norms[0]), F.col(norms[1]))
-    return F.expr(_dot(a, b)) / (x * y)
-
-
 def score(distance: Column, scale: float = 1e6) -> Column:
     """Scaled, truncated and saturated as a 32-bit integer."""
     return F.least(distance * scale, F.lit(2147483647.0)).cast("int")
@@ -95,6 +79,14 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", n_queri
     return ranked(found, k, first, "id").select(F.col("q_id").alias("query_id"), "rank", "id", "distance")
 
 
+def nearest_words(rows: DataFrame, queries: DataFrame, k: int, width: int, bits: int = 1, row: str = "id", n_queries: int | None = None, name: str = "hamming") -> DataFrame:
+    """(q_id, ``row``, ``name``, rank): the ``k`` rows nearest to each query by the first ``width`` bits, ties to the lower ``row``."""
+    n = count_queries(queries) if n_queries is None else n_queries
+    names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))]
+    found = nearest(rows.select(F.col(row).alias("id"), *names), queries.select("id", *names), k, Bits(width, bits), n <= MOST_BROADCAST, tuple(names))
+    return ranked(found.select(F.col("a0").alias("q_id"), F.col("id").alias(row), F.col("value").cast("int").alias(name)), k, name, row)
+
+
 def shortlist(n: int | None, k: int, sidecar: str, routed: bool = False) -> int:
     """How many candidates the bits pass on; ``n`` is the number of rows, where it is known."""
     most = max(50, 3 * k) if sidecar == "none" else max(300, 30 * k) if routed else max(100, 20 * k)
