@@ -41,7 +41,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank"])
+@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode"])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
 
