@@ -41,7 +41,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2"])
+@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k"])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
 
@@ -84,6 +84,27 @@ def test_nearest_equals_sums_in_order(spark, monkeypatch, broadcast):
         assert got == {n: best([key(a, b) for b in x], ids, 7) for n, a in enumerate(q)}
 
 
+def test_nearest_words(spark, monkeypatch):
+    for name, value in {"ROW_BLOCK": 64, "QUERY_BLOCK": 4, "TOGETHER": 3, "EXACT": 16}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(2)
+    for dim, width, bits in ((128, 100, 1), (128, 128, 2), (64, 48, 1), (64, 32, 2)):
+        x = rng.normal(size=(300, dim))
+        x[100:140] = x[:40]  # the same words: ties
+        frame = spark.createDataFrame([(n, n, [float(v) for v in r]) for n, r in enumerate(x)], "id long, row_idx long, vector array<double>")
+        coded = encode(frame, "vector", Rotation(dim, [dim]), bits)
+        got = {}
+        for r in S.nearest_words(coded, coded.where("id % 20 = 0"), 12, width, bits).orderBy("q_id", "rank").collect():
+            got.setdefault(r.q_id, []).append((r.hamming, r.id))
+        signs, masks = quantise(Rotation(dim, [dim]).apply(x), bits)
+        signs = unpack_bits(signs, dim)[:, :width]
+        masks = np.ones_like(signs) if masks is None else unpack_bits(masks, dim)[:, :width]
+        for n in range(0, 300, 20):
+            other = masks & masks[n] & (signs ^ signs[n])
+            distance = other.sum(axis=1) if bits == 1 else 4 * other.sum(axis=1) + (masks ^ masks[n]).sum(axis=1)
+            assert got[n] == best(distance.tolist(), range(300), 12)
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [nan, 0.0]), (2, None), (3, [0.0, None]), (4, [inf, 0.0]), (5, [0.0, 0.0]), (6, [1e200, 0.0]), (7, [1.0, 0.0])]

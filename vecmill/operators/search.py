@@ -115,13 +115,13 @@ def cascade(
     """
     n = count_queries(queries) if n_queries is None else n_queries
     live = rows.where(~F.col("deleted")) if "deleted" in rows.columns else rows
-    names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))]
-    keys = [f"k{c}" for c in range(4)] if routed else []
-    met = meet(live.select("row_idx", *names, *keys), prefixed(queries.select("id", *names, *keys)), n)
     if routed:
-        met = through_buckets(met, queries, candidates)
-    met = met.select("q_id", "row_idx", (hamming(width) if bits == 1 else ternary(width)).alias("hamming"))
-    near = ranked(met, candidates, "hamming", "row_idx").drop("rank")
+        names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))] + [f"k{c}" for c in range(4)]
+        met = through_buckets(meet(live.select("row_idx", *names), prefixed(queries.select("id", *names)), n), queries, candidates)
+        met = met.select("q_id", "row_idx", (hamming(width) if bits == 1 else ternary(width)).alias("hamming"))
+        near = ranked(met, candidates, "hamming", "row_idx").drop("rank")
+    else:
+        near = nearest_words(live, queries, candidates, width, bits, "row_idx", n).drop("rank")
     if n * candidates <= MOST_FETCHED:
         near = F.broadcast(near)
     whole = ["vec"] if sidecar != "none" else [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-dim // 64))]
