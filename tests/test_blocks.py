@@ -41,7 +41,7 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k", "cascade_fp16", "cascade_fp4", "cascade_fp8", "cascade_none", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk"])
+@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k", "cascade_fp16", "cascade_fp4", "cascade_fp8", "cascade_none", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk", "tombstone_filter"])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
 
