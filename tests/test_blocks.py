@@ -41,7 +41,10 @@ def most_rows(df) -> int:
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
-@pytest.mark.parametrize("name", ["rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k", "cascade_fp16", "cascade_fp4", "cascade_fp8", "cascade_none", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk", "tombstone_filter"])
+@pytest.mark.parametrize("name", [
+    "rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k", "cascade_fp16", "cascade_fp4", "cascade_fp8",
+    "cascade_none", "cascade_two_bit", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk", "tombstone_filter",
+])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
 
@@ -146,3 +149,17 @@ def test_votes_and_their_ranks(spark, monkeypatch, most):
     assert got and all(abs(r.score - cosine[r.row_idx]) < 1e-12 and r.mask == want[r.row_idx] for r in got)
 
 
+def test_equal_words_rank_by_row(spark, tmp_path):
+    """Rows with the same kept signs are equally far by two bits, whatever their vectors: the lower row comes first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 64))
+    x[200:] = x[199::-1] * 2  # the same signs and masks, in the opposite order
+    rows = [(n, [float(v) for v in r], 0) for n, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in QUERIES["cascade_two_bit"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert set(got) == {0, 100, 200, 300}
+    for found in got.values():  # the shortlist may end between two such rows
+        twins = [(n, found.index(399 - a)) for n, a in enumerate(found) if a < 200 and 399 - a in found]
+        assert len(found) == 10 and len(twins) > 2 and all(b == a + 1 for a, b in twins)
