@@ -43,7 +43,7 @@ def most_rows(df) -> int:
 
 @pytest.mark.parametrize("name", [
     "rerank_cosine", "vote_rerank", "knn_float_mode", "knn_cosine", "delta_search_merged", "knn_l2", "recall_at_k", "cascade_fp16", "cascade_fp4", "cascade_fp8",
-    "cascade_none", "cascade_two_bit", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk", "tombstone_filter",
+    "cascade_none", "cascade_two_bit", "cascade_three_tiers", "cascade_two_tiers", "hamming_topk", "search_scores", "ternary_topk", "tombstone_filter", "mih_search",
 ])
 def test_pairs_become_no_rows(spark, table, name):
     assert most_rows(QUERIES[name](spark, table)) < 20 * 2000 / 4
@@ -108,6 +108,20 @@ def test_nearest_words(spark, monkeypatch):
             assert got[n] == best(distance.tolist(), range(300), 12)
 
 
+def test_routed_by_blocks_as_by_rows(spark, monkeypatch):
+    for name, value in {"ROW_BLOCK": 64, "QUERY_BLOCK": 5, "TOGETHER": 3}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(7)
+    rows = [(n, n, int(rng.integers(-(2**62), 2**62)), *[int(v) for v in rng.choice([0, 1, 3, 7, 255], 4)]) for n in range(300)]
+    schema = "id long, row_idx long, s0 long, k0 short, k1 short, k2 short, k3 short"
+    frame, asked = spark.createDataFrame(rows, schema), spark.createDataFrame([*rows[:8], (900, 900, 5, 90, 90, 90, 90)], schema)  # of the last nothing is near
+    for candidates in (1, 20, 60):
+        pairs = S.through_buckets(S.meet(frame.drop("id"), S.prefixed(asked.drop("row_idx"))), asked, candidates)
+        want = S.ranked(pairs.select("q_id", "row_idx", S.hamming(50).alias("hamming")), candidates, "hamming", "row_idx")
+        got = S.nearest_routed(frame, asked, candidates, 50, 1, 9).select(*want.columns)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.where("q_id = 900").count() == candidates
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [nan, 0.0]), (2, None), (3, [0.0, None]), (4, [inf, 0.0]), (5, [0.0, 0.0]), (6, [1e200, 0.0]), (7, [1.0, 0.0])]

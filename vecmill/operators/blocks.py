@@ -130,8 +130,7 @@ def _in_order(terms: np.ndarray) -> np.ndarray:
 class L2:
     """Squared distance."""
 
-    def __init__(self):
-        self.sign = 1
+    sign, excludes = 1, False
 
     def prepare(self, block: Block) -> None:
         block.wide = block.values.astype(np.float64)
@@ -160,8 +159,7 @@ class L2:
 class Cosine:
     """Cosine, negative so that the highest comes first; a vector of zeros has norm 1. NaN comes before all."""
 
-    def __init__(self):
-        self.sign = -1
+    sign, excludes = -1, False
 
     def prepare(self, block: Block) -> None:
         block.wide = block.values.astype(np.float64)
@@ -187,7 +185,7 @@ class Bits:
     """Differing bits of the words among the first ``width``; with 2 bits, 4 where both keep a component with other signs, 1 where one keeps it."""
 
     def __init__(self, width: int, bits: int = 1):
-        self.sign, self.bits, self.words = 1, bits, -(-width // 64)
+        self.sign, self.bits, self.words, self.excludes = 1, bits, -(-width // 64), False
         over = 64 * self.words - width
         self.masks = np.full(self.words, -1, dtype=np.int64)
         if over:
@@ -218,6 +216,41 @@ class Bits:
         return np.zeros(1)
 
 
+class Routed(Bits):
+    """As ``Bits``, of the rows alone that bucket routing gathers; the last word of the payload has the keys, a byte for each chunk.
+
+    A query's second long is the last group that it gathers; -1 stands for the rows
+    with the first ``first`` ids. Others are as far as can be.
+    """
+
+    def __init__(self, width: int, bits: int, first: int):
+        super().__init__(width, bits)
+        self.excludes, self.first = True, first
+
+    def prepare(self, block: Block) -> None:
+        parts = block.values[:, :-1].reshape(len(block.ok), self.bits, self.words)
+        block.parts = np.ascontiguousarray((parts & self.masks).transpose(1, 2, 0)).view(np.uint64)
+        block.keys = np.stack([(block.values[:, -1] >> 8 * c).astype(np.uint8) for c in range(4)])
+
+    def groups(self, q: Block, x: Block, rows: slice) -> np.ndarray:
+        """When routing comes by each row: 0 by an equal key, 1 to 4 by a key with one other bit, 5 by the first with two, 6 never."""
+        out = None
+        for c in range(4):
+            n = np.bitwise_count(q.keys[c, rows, None] ^ x.keys[c])
+            # 0, then c + 1, then 6 (of the first chunk 5 at two bits); arithmetic is faster here than looking up
+            group = (n != 0).view(np.uint8) * np.uint8(c + 1)
+            group += (n > 1).view(np.uint8) * np.uint8(5 - c if c else 4)
+            if c == 0:
+                group += (n > 2).view(np.uint8)
+            out = group if out is None else np.minimum(out, group, out=out)
+        return out
+
+    def matrix(self, q: Block, x: Block, rows: slice) -> np.ndarray:
+        near, last = super().matrix(q, x, rows), q.longs[1][rows, None]
+        gathered = (self.groups(q, x, rows) <= last) | ((last == -1) & (x.ids < self.first))
+        return np.where(gathered, near, np.iinfo(near.dtype).max)
+
+
 class Asked:
     """A block of queries, and for each the ``k`` best rows met so far: (key, null, id), the lowest first."""
 
@@ -241,6 +274,8 @@ class Asked:
             near = self.measure.matrix(self.block, other, rows)
             limit = self._limit(near, rows, other)
             left = ~(near > limit[:, None])
+            if self.measure.excludes:
+                left &= near < np.iinfo(near.dtype).max
             if not (self.block.sound and other.sound):
                 left = np.where(self.block.ok[rows, None] & other.ok, left, ~self.full[rows, None])
             i, j = np.nonzero(left)
@@ -270,7 +305,7 @@ class Asked:
         better = ~(key > self.bound[i])
         self.waiting.append((i[better].astype(np.int32), key[better], null[better], other.ids[j[better]]))
         self.count += len(self.waiting[-1][0])
-        if self.count > max(EXACT, len(self.block.ok) * self.k) or not self.full.all():
+        if self.count > max(EXACT, len(self.block.ok) * self.k):
             self.settle()
 
     def settle(self) -> None:
@@ -319,6 +354,24 @@ class Voted:
         yield pa.RecordBatch.from_arrays(columns, names=[*[f"a{n}" for n in range(len(columns) - 1)], "mask"])
 
 
+class Counted:
+    """A block of queries, and how many rows are in each group of their buckets."""
+
+    def __init__(self, block: Block, measure: Routed):
+        self.block, self.measure, self.counts = block, measure, np.zeros((6, len(block.ok)), dtype=np.int64)
+
+    def meet(self, other: Block) -> None:
+        for at in range(0, len(self.block.ok), TOGETHER):
+            rows = slice(at, min(at + TOGETHER, len(self.block.ok)))
+            groups = self.measure.groups(self.block, other, rows)
+            for g in range(6):
+                self.counts[g, rows] += np.count_nonzero(groups == g, axis=1)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array(c, pa.int64()) for c in (self.block.ids, *self.counts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["a0", *[str(g) for g in range(6)]])
+
+
 def _meet(make, measure, per: str, kept: int):
     """Pairs of blocks as (r_..., q_...): what ``make`` of each block of the asking side (``per``) found among the others."""
     asked_side, other_side = ("q_", "r_") if per == "query" else ("r_", "q_")
@@ -393,3 +446,9 @@ def votes(rows: DataFrame, queries: DataFrame, measure: Bits, broadcast: bool, p
     met = _pairs(rows, queries, broadcast, payload, keep, ("family", "threshold"))
     schema = ", ".join([*[f"a{n} long" for n in range(1 + len(keep))], "mask long"])
     return met.mapInArrow(_meet(lambda block: Voted(block, measure), measure, "row", 1), schema)
+
+
+def group_sizes(rows: DataFrame, queries: DataFrame, measure: Routed, broadcast: bool, payload: tuple[str, ...]) -> DataFrame:
+    """(a0, 0, ..., 5): the rows in each group of a query's buckets, by tasks."""
+    met = _pairs(rows, queries, broadcast, payload, (), ())
+    return met.mapInArrow(_meet(lambda block: Counted(block, measure), measure, "query", KEPT_BLOCKS), "a0 long, " + ", ".join(f"`{g}` long" for g in range(6)))

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmill.operators.blocks import L2, Bits, Cosine, nearest
+from vecmill.operators.blocks import L2, Bits, Cosine, Routed, group_sizes, nearest
 
 #: Queries up to this count are broadcast; more meet the rows in blocks (a cartesian product of partitions).
 MOST_BROADCAST = 20_000
@@ -38,16 +38,6 @@ def hamming(width: int) -> Column:
     return reduce(add, parts).cast("int")
 
 
-def ternary(width: int) -> Column:
-    """4 for each component that both keep with other signs, 1 for each that one keeps."""
-    parts = []
-    for k in range(-(-width // 64)):
-        s, m, qs, qm = (F.col(f"{n}{k}") for n in ("s", "m", "q_s", "q_m"))
-        cut = lambda x: F.bit_count(_masked(x, width - 64 * k))  # noqa: B023, E731
-        parts.append(4 * cut(m.bitwiseAND(qm).bitwiseAND(s.bitwiseXOR(qs))) + cut(m.bitwiseXOR(qm)))
-    return reduce(add, parts).cast("int")
-
-
 def l2_squared(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0D, (s, v) -> s + v)")
 
@@ -116,10 +106,7 @@ def cascade(
     n = count_queries(queries) if n_queries is None else n_queries
     live = rows.where(~F.col("deleted")) if "deleted" in rows.columns else rows
     if routed:
-        names = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))] + [f"k{c}" for c in range(4)]
-        met = through_buckets(meet(live.select("row_idx", *names), prefixed(queries.select("id", *names)), n), queries, candidates)
-        met = met.select("q_id", "row_idx", (hamming(width) if bits == 1 else ternary(width)).alias("hamming"))
-        near = ranked(met, candidates, "hamming", "row_idx").drop("rank")
+        near = nearest_routed(live, queries, candidates, width, bits, n).drop("rank")
     else:
         near = nearest_words(live, queries, candidates, width, bits, "row_idx", n).drop("rank")
     if n * candidates <= MOST_FETCHED:
@@ -145,6 +132,28 @@ def probe_group() -> Column:
     return group.when(other[0] == 2, 5)
 
 
+def _last_group(candidates: int) -> Column:
+    """The last group that is gathered, by the groups' sizes (columns 0 to 5); -1 if there is nothing in any."""
+    n = [F.coalesce(F.col(str(g)), F.lit(0)) for g in range(6)]
+    before = [reduce(add, n[:g], F.lit(0)) for g in range(6)]
+    last = reduce(lambda high, g: F.when(before[g] < 2 * candidates, g).otherwise(high), range(1, 5), F.lit(0))
+    return F.when(before[5] + n[5] == 0, -1).when(before[5] < candidates, 5).otherwise(last)
+
+
+def nearest_routed(rows: DataFrame, queries: DataFrame, candidates: int, width: int, bits: int, n_queries: int) -> DataFrame:
+    """(q_id, row_idx, hamming, rank): as ``nearest_words``, of the rows that bucket routing gathers (see ``through_buckets``), by blocks."""
+    words = [f"{p}{j}" for p in ("s", "m")[:bits] for j in range(-(-width // 64))]
+    keys = reduce(add, [F.shiftleft(F.col(f"k{c}").cast("long").bitwiseAND(F.lit(255)), 8 * c) for c in range(4)]).alias("keys")
+    payload, few = (*words, "keys"), n_queries <= MOST_BROADCAST
+    measure = Routed(width, bits, candidates)
+    met, asked = rows.select(F.col("row_idx").alias("id"), *words, keys), queries.select("id", *words, keys)
+    sizes = group_sizes(met, asked, measure, few, payload).groupBy(F.col("a0").alias("id")).agg(*[F.sum(str(g)).alias(str(g)) for g in range(6)])
+    asked = asked.join(sizes, "id", "left").select("id", *payload, _last_group(candidates).alias("last"))
+    found = nearest(met, asked, candidates, measure, few, payload, keep=("last",))
+    found = found.select(F.col("a0").alias("q_id"), F.col("id").alias("row_idx"), F.col("value").cast("int").alias("hamming"))
+    return ranked(found, candidates, "hamming", "row_idx")
+
+
 def through_buckets(met: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
     """The rows of ``met`` (row_idx, k0 to k3, and the queries' with q_) that bucket routing gathers.
 
@@ -153,16 +162,12 @@ def through_buckets(met: DataFrame, queries: DataFrame, candidates: int) -> Data
     two-bit neighbours of the first chunk. A query without any takes the first rows.
 
     A row's group follows from its keys and the query's, so that no postings are
-    dealt out; the groups' sizes (6 for each query) are counted before.
+    dealt out; the groups' sizes (6 for each query) are counted before. This is for
+    pairs that are rows; ``nearest_routed`` gathers the same by blocks.
     """
     grouped = met.withColumn("g", probe_group())
     counts = grouped.where("g IS NOT NULL").groupBy("q_id").pivot("g", list(range(6))).agg(F.count(F.lit(1)))
-    n = [F.coalesce(F.col(str(g)), F.lit(0)) for g in range(6)]
-    # the last group that is gathered; -1 if there is nothing in any
-    before = [reduce(add, n[:g], F.lit(0)) for g in range(6)]
-    last = reduce(lambda high, g: F.when(before[g] < 2 * candidates, g).otherwise(high), range(1, 5), F.lit(0))
-    last = F.when(before[5] + n[5] == 0, -1).when(before[5] < candidates, 5).otherwise(last)
-    stops = queries.select(F.col("id").alias("q_id")).join(counts, "q_id", "left").select("q_id", last.alias("last"))
+    stops = queries.select(F.col("id").alias("q_id")).join(counts, "q_id", "left").select("q_id", _last_group(candidates).alias("last"))
     kept = grouped.join(stops, "q_id").where((F.col("g") <= F.col("last")) | ((F.col("last") == -1) & (F.col("row_idx") < candidates)))
     return kept.drop("g", "last")
 
